@@ -12,6 +12,8 @@ is broadcast.  Only their rows get a salt in the sort key; each salted run keeps
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,16 @@ from .common import ascii_lower, tasks
 PREFIX = 32
 
 
-def exact_dedup(docs: DataFrame, keep: str = "max", hot_rows: int = 64, max_hot: int = 100_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row.
+def exact_dedup(docs: DataFrame, keep: str = "max", carry: Sequence[str] = (), hot_rows: int = 64, max_hot: int = 100_000) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the columns to carry of every row.
 
     Null texts count as empty and are copies of each other.  keep is "max" or "min": which doc_id stays.  A null
     doc_id stays only in a group that has no other.  Of repeated rows with the same doc_id and text one is kept.
-    An empty table gives an empty table; other columns are not read.
+    An empty table gives an empty table; columns that are not carried are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("_t"))
+    more = [c for c in carry if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    rows = rows.withColumn("_t", ascii_lower(F.col("text")))
     rows = rows.withColumn("_sha", F.sha2(F.col("_t"), 256))
     n = docs.count()
     limit = max(hot_rows, -(-n // max_hot))
@@ -35,16 +39,19 @@ def exact_dedup(docs: DataFrame, keep: str = "max", hot_rows: int = 64, max_hot:
     rows = rows.join(F.broadcast(hot), "_sha", "left")
     runs = F.ceil(F.col("_n") / limit).cast("long")
     rows = rows.select(
-        "doc_id", "_t", "_sha", F.col("_n").isNotNull().alias("_hot"),
+        "doc_id", "text", *more, "_sha", F.col("_n").isNotNull().alias("_hot"),
         F.substring("_t", 1, PREFIX).alias("_p"), F.xxhash64("_t").alias("_h"),
         F.coalesce(F.pmod(F.xxhash64("doc_id"), runs), F.lit(0)).alias("_salt"),
     )
     spread = rows.repartitionByRange(tasks(docs.sparkSession), "_p", "_h", "_salt")
+    # The exchange carries the text once; it is normalised again behind it.
+    spread = spread.withColumn("_t", ascii_lower(F.col("text")))
+    kept_columns = [c for c in carry if c != "doc_id"]
     run = Window.partitionBy("_p", "_h", "_salt", "_t")
     best = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     pick = F.max if keep == "max" else F.min
     spread = spread.select(
-        "doc_id", "_sha", "_hot", "_h", "_t",
+        "doc_id", *kept_columns, "_sha", "_hot", "_t",
         pick("doc_id").over(run).alias("_keep"), F.count(F.lit(1)).over(run).alias("_size"),
         F.row_number().over(run.orderBy(best)).alias("_nth"),
     )
@@ -54,13 +61,13 @@ def exact_dedup(docs: DataFrame, keep: str = "max", hot_rows: int = 64, max_hot:
         .agg(pick("_keep").alias("_hot_keep"), F.sum("_size").alias("_hot_size"))
         .select("_sha", "_hot_keep", "_hot_size")
     )
-    out = spread.drop("_t", "_h").join(F.broadcast(whole), "_sha", "left")
+    out = spread.drop("_t").join(F.broadcast(whole), "_sha", "left")
     keep_id = F.when(F.col("_hot"), F.col("_hot_keep")).otherwise(F.col("_keep"))
     return out.select(
         "doc_id", keep_id.alias("keep_id"),
         F.when(F.col("_hot"), F.col("_hot_size")).otherwise(F.col("_size")).alias("group_size"),
         ((F.col("_nth") == 1) & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+        F.col("_sha").alias("text_sha256"), *kept_columns,
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, secrets, token_counts, toxicity, vptree
+from . import chat, exact_dedup, mixing, near_dedup, packing, quality, secrets, token_counts, toxicity, vptree
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, F.col("vec_id") % 50 == 0).withColumn("rank", F.col("rank").cast("int"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
@@ -64,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_secrets, op3_mixing, op4_neighbours, op6_chat, op7_quality, op8_packing, op9_exact_dedup, op10_token_counts)
+    own = (op1_toxicity, op2_secrets, op3_mixing, op4_neighbours, op5_near_dedup, op6_chat, op7_quality, op8_packing, op9_exact_dedup, op10_token_counts)
     return {f.__name__: f for f in own}
 
 

@@ -171,23 +171,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2400, max_c
 def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
     """The given columns (doc_id if none), score and predicted of every row.
 
-    Null and empty texts get the score of no evidence.  Repeated rows get equal scores.
+    Null and empty texts get the score of no words.  Repeated rows get equal scores.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.weights.tobytes(), model.bias, model.scale, model.shift, model.empty, model.window))
     columns = columns or ["doc_id"]
-    text_at = len(columns)
+    rows = docs.select(*columns) if "text" in columns else docs.select(*columns, "text")
+    text_at, kept = rows.columns.index("text"), len(columns)
 
     def run(batches: Iterator) -> Iterator:
         raw, *rest = sent.value
         score = Model(np.frombuffer(raw), *rest).score
         for batch in batches:
             s = pa.array([score(t.as_py() or "") for t in batch.column(text_at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], s], names=[*columns, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], s], names=[*columns, "_score"])
 
-    rows = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    schema = rows.drop("_text").withColumn("_score", F.lit(0.0)).schema
+    schema = docs.select(*columns, F.lit(0.0).alias("_score")).schema
     out = rows.mapInArrow(run, schema)
     return out.select(*columns, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
