@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 #: Longest look-ahead of the splitter: an apostrophe and two letters.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
