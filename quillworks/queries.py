@@ -1,9 +1,15 @@
-"""Queries over the driver's tables, one or more for each operator."""
+"""Queries over the driver's tables, one or more for each operator, and their SQL for comparison."""
+
+from __future__ import annotations
+
+from .catalog import texts
+
+AREAS = (texts,)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for area in AREAS for f in area.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for area in AREAS for name, sql in area.SQL.items()}
