@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .catalog import texts
+from .catalog import scores, texts
 
-AREAS = (texts,)
+AREAS = (texts, scores)
 
 
 def queries() -> dict:
