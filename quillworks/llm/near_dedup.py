@@ -10,7 +10,8 @@
    union, then exact Jaccard on full sets from the whole texts.  Connected components of the confirmed links follow.
 4. Pairs of a list within one component need no further look.  The others are all compared: in short lists pair by
    pair, in long ones in blocks, where the list's main component is compared with the rest and the rest with itself.
-   What passes the estimate is confirmed on full sets and joins components, so no link that could matter is left out.
+   In lists of whole sets the comparison is exact; in those of sketches what passes the estimate is confirmed on full
+   sets.  Links join components, so none that could matter is left out.
 
 Stars and components keep the work near the size of the lists for large groups of near copies; no list's pairs are
 written out, no list is cut.
@@ -228,49 +229,125 @@ def short_pairs(lists: DataFrame, t: int, short: int) -> DataFrame:
     return p.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def long_pairs(lists: DataFrame, sketches: DataFrame, t: int, k: int, short: int, block: int) -> DataFrame:
-    """a, b of longer lists, over different components, that pass the estimate: blocks of the list against blocks of
-    those that are not in its main component."""
+def forest(rest: np.ndarray, others: np.ndarray, comp: dict[int, int], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (rest[i], others[j]) those that join components not joined yet."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in zip(rest[i].tolist(), others[j].tolist()):
+        x, y = find(comp[a]), find(comp[b])
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def common_counts(rest: list[np.ndarray], others: list[np.ndarray], step: int = 8192) -> np.ndarray:
+    """Size of the intersection of each set of rest with each of others; the sets hold distinct values."""
+    sizes = [len(x) for x in rest] + [len(x) for x in others]
+    values, at = np.unique(np.concatenate([*rest, *others]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    number = np.cumsum(np.bincount(at, minlength=len(values)) > 1) - 1
+    shared = np.bincount(at, minlength=len(values))[at] > 1
+    row, col = row[shared], number[at[shared]]
+    out = np.zeros((len(rest), len(others)), np.float32)
+    for a in range(0, int(col.max()) + 1 if len(col) else 0, step):
+        use = (col >= a) & (col < a + step)
+        matrix = np.zeros((len(sizes), step), np.float32)
+        matrix[row[use], col[use] - a] = 1
+        out += matrix[: len(rest)] @ matrix[len(rest) :].T
+    return out
+
+
+def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest value that each row of a shares with that of b; rows hold distinct values and are filled up with NONE."""
+    u = np.sort(np.hstack([a, b]), axis=1)
+    twice = (u[:, 1:] == u[:, :-1]) & (u[:, 1:] != NONE)
+    at = twice.argmax(axis=1)
+    return np.where(twice.any(axis=1), u[np.arange(len(u)), at], NONE)
+
+
+def in_blocks(lists: DataFrame, payload: DataFrame, block: int) -> DataFrame:
+    """Rows of lists over several components, dealt to pairs (i, j) of a block of what is not in the list's main
+    component (rest) and a block of the list.  Only ids that such a list holds bring their payload (id, ...)."""
+    per = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    rows = lists.join(materialise(main.where("all > most"), "near-main"), "value").join(payload, "id")
+    blocks, parts = F.ceil(F.col("all") / block).cast("int"), F.ceil((F.col("all") - F.col("most")) / block).cast("int")
+    keep = ["value", "id", "n", "comp", *[c for c in payload.columns if c != "id"]]
+    rows = materialise(rows.select(*keep, (F.col("comp") != F.col("main")).alias("other"), blocks.alias("blocks"), parts.alias("parts")), "near-long")
+    h, g = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+    members = rows.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), h.alias("j"), F.lit(False).alias("rest"), *keep)
+    others = rows.where("other").select(g.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("rest"), *keep)
+    return members.unionByName(others)
+
+
+def long_links(lists: DataFrame, reps: DataFrame, t: int, block: int) -> DataFrame:
+    """a, b: confirmed links over different components in long lists of whole sets, no more than join them.
+
+    What is retained of these sets is the sets, so exact Jaccard is taken in the block and nothing else is written.
+    """
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates(["rest", "id"])
+        rest, every = pdf[pdf["rest"]], pdf[~pdf["rest"]]
+        common = common_counts(list(rest["v"]), list(every["v"]))
+        union = rest["n"].to_numpy()[:, None] + every["n"].to_numpy()[None, :] - common
+        linked = (100 * common >= t * union) & (rest["comp"].to_numpy()[:, None] != every["comp"].to_numpy()[None, :])
+        out = forest(rest["id"].to_numpy(), every["id"].to_numpy(), dict(zip(pdf["id"], pdf["comp"])), *np.nonzero(linked))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return in_blocks(lists, reps.select("id", "v"), block).groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def long_pairs(lists: DataFrame, sketches: DataFrame, t: int, k: int, block: int) -> DataFrame:
+    """a, b over different components in long lists of sketches that pass the estimate, each in its first common list only."""
     limit = margin(t / 100, k)
 
     def run(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
+        value = np.array([pdf["value"].iloc[0]]).view(np.uint64)[0]
         pdf = pdf.drop_duplicates(["rest", "id"])
-        rest, all_ = pdf[pdf["rest"]], pdf[~pdf["rest"]]
-        sr, sa = (np.frombuffer(b"".join(x["s"]), np.uint32).reshape(-1, k) for x in (rest, all_))
-        values, at = np.unique(np.vstack([sr, sa]), return_inverse=True)
-        at = at.reshape(-1, k)
-        count = np.bincount(at.ravel(), minlength=len(values))
-        use = (count > 1) & (values != 0xFFFFFFFF)
-        number = np.cumsum(use) - 1
-        matrix = np.zeros((len(at), max(1, int(use.sum()))), np.float32)
-        row, col = np.nonzero(use[at])
-        matrix[row, number[at[row, col]]] = 1
-        common = matrix[: len(rest)] @ matrix[len(rest) :].T
-        nr, na = (x["n"].to_numpy() for x in (rest, all_))
-        ok = common >= limit * np.minimum(k, np.minimum(nr[:, None], na[None, :])) - 1e-6
-        ok &= np.minimum(nr[:, None], na[None, :]) * 100 >= np.maximum(nr[:, None], na[None, :]) * t
-        ok &= rest["comp"].to_numpy()[:, None] != all_["comp"].to_numpy()[None, :]
+        rest, every = pdf[pdf["rest"]], pdf[~pdf["rest"]]
+        sr, se = (np.frombuffer(b"".join(x["s"]), np.uint32).reshape(-1, k) for x in (rest, every))
+        real = [[np.unique(r[r != 0xFFFFFFFF]) for r in x] for x in (sr, se)]
+        common = common_counts(*real)
+        nr, ne = (x["n"].to_numpy() for x in (rest, every))
+        least = np.minimum(nr[:, None], ne[None, :])
+        ok = common >= limit * np.minimum(k, least) - 1e-6
+        ok &= (least * 100 >= np.maximum(nr[:, None], ne[None, :]) * t) & (rest["comp"].to_numpy()[:, None] != every["comp"].to_numpy()[None, :])
+        width = int(max(map(len, pdf["own"])))
+        own = np.full((len(pdf), width), NONE)
+        for r, x in enumerate(pdf["own"]):
+            own[r, : len(x)] = np.asarray(x, np.int64).view(np.uint64)
+        own_r, own_e = own[pdf["rest"].to_numpy()], own[~pdf["rest"].to_numpy()]
         i, j = np.nonzero(ok)
-        keep = np.concatenate([estimates(sr[i[x : x + 20_000]], sa[j[x : x + 20_000]]) >= limit for x in range(0, len(i), 20_000)] or [np.zeros(0, bool)])
-        a, b = rest["id"].to_numpy()[i[keep]], all_["id"].to_numpy()[j[keep]]
+        a, b = [], []
+        for x in range(0, len(i), 20_000):
+            ii, jj = i[x : x + 20_000], j[x : x + 20_000]
+            here = first_common(own_r[ii], own_e[jj]) == value
+            ii, jj = ii[here], jj[here]
+            pass_ = estimates(sr[ii], se[jj]) >= limit
+            a.append(rest["id"].to_numpy()[ii[pass_]])
+            b.append(every["id"].to_numpy()[jj[pass_]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    own = lists.where(F.col("m") > short)
-    per = own.groupBy("mode", "value", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("mode", "value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    main = materialise(main.where("all > most"), "near-main")
-    rows = own.join(main, ["mode", "value"]).join(sketches, "id")
-    blocks, parts = F.ceil(F.col("all") / block).cast("int"), F.ceil((F.col("all") - F.col("most")) / block).cast("int")
-    rows = materialise(rows.select("mode", "value", "id", "n", "comp", "s", (F.col("comp") != F.col("main")).alias("other"), blocks.alias("blocks"), parts.alias("parts")), "near-long")
-    h, g = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    members = rows.select("mode", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), h.alias("j"), F.lit(False).alias("rest"), "id", "n", "comp", "s")
-    others = rows.where("other").select("mode", "value", g.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("rest"), "id", "n", "comp", "s")
-    return members.unionByName(others).groupBy("mode", "value", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    # A document stands in a bounded number of lists, fewer than its retained values.
+    own = lists.groupBy("id").agg(F.collect_set("value").alias("own"))
+    return in_blocks(lists, sketches.join(own, "id"), block).groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 64, whole: int = 256, short: int = 64, block: int = 512, max_heavy: int = 2_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 64, whole: int = 256, short: int = 64, block: int = 1024, max_heavy: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are runs of other characters than space and U+0009 to U+000D, A-Z lower-cased; a set is the distinct shingles
@@ -293,10 +370,15 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     while counts.where(F.col("df") > bound).count() > max_heavy:  # only the order of listing depends on it
         bound *= 2
     index = materialise(prefixes(reps, counts.where(F.col("df") > bound), t, k, whole), "near-index")
-    hubs = index.groupBy("mode", "value").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    # The smallest id of a list is its hub; long lists have two more, by hash, as one may be an odd copy.
+    hashed = F.struct(F.xxhash64("id").alias("h"), "id", "n")
+    hubs = index.groupBy("mode", "value").agg(F.min(F.struct("id", "n")).alias("hub"), F.min(hashed).alias("low"), F.max(hashed).alias("high"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    pick = F.struct(F.col("low.id").alias("id"), F.col("low.n").alias("n")), F.struct(F.col("high.id").alias("id"), F.col("high.n").alias("n"))
+    hubs = hubs.select("mode", "value", "m", F.when(F.col("m") > short, F.array("hub", *pick)).otherwise(F.array("hub")).alias("hubs"))
     lists = materialise(index.join(materialise(hubs, "near-hubs"), ["mode", "value"]), "near-lists")
     sketches = reps.select("id", "s")
-    stars = lists.where("id <> hub.id").where(close_sizes(F.col("n"), F.col("hub.n"), t)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    stars = lists.select("id", "n", F.explode("hubs").alias("hub")).where("id <> hub.id").where(close_sizes(F.col("n"), F.col("hub.n"), t))
+    stars = stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
     stars = materialise(likely(stars, sketches, t, k), "near-stars")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), ascii_lower(F.col("text").cast("string")).alias("text"))
     links = materialise(confirm(stars, stars.count(), texts, shingle, t), "near-links")
@@ -304,14 +386,11 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     labelled = lists.select("mode", "value", "id", "n", "m").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     labelled = materialise(labelled, "near-labelled")
     more = likely(short_pairs(labelled, t, short).distinct().join(stars, ["a", "b"], "left_anti"), sketches, t, k)
-    more = more.union(long_pairs(labelled, sketches, t, k, short, block)).distinct().join(stars, ["a", "b"], "left_anti")
+    long = labelled.where(F.col("m") > short)
+    more = more.union(long_pairs(long.where("mode = 1"), sketches, t, k, block)).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialise(more, "near-more")
-    n_more = more.count()
-    if n_more:
-        links = links.union(materialise(confirm(more, n_more, texts, shingle, t), "near-links"))
-        last = components(links)
-    else:
-        last = first
+    found = materialise(long_links(long.where("mode = 0"), reps, t, block).union(confirm(more, more.count(), texts, shingle, t)), "near-links")
+    last = first if found.isEmpty() else components(links.union(found))
     out = own.join(last.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     rest = sig.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
