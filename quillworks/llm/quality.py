@@ -38,7 +38,7 @@ def features(text: Column) -> list[Column]:
 
 def fit(rows: list[tuple], share: float, steps: int = 1500) -> dict:
     """Logistic regression on standardised features and their squares, the classes weighted to the given share of ones."""
-    x, y = np.array([r[:-1] for r in rows], np.float64).reshape(len(rows), -1), np.array([r[-1] for r in rows], np.float64)
+    x, y = np.array([r[:-1] for r in rows], np.float64).reshape(len(rows), len(FEATURES)), np.array([r[-1] for r in rows], np.float64)
     share = min(max(share, 1e-4), 1 - 1e-4)
     if len(set(y)) < 2:
         return {"mean": [0.0] * len(FEATURES), "scale": [1.0] * len(FEATURES), "linear": [0.0] * len(FEATURES), "square": [0.0] * len(FEATURES), "bias": float(np.log(share / (1 - share)))}
