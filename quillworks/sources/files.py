@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.seed import Bank
 from .yaml_subset import load
 
-PROVIDERS = ("openrouter", "anthropic", "openai", "jev")
+PROVIDERS = ("openrouter", "anthropic", "openai", "judge")
 EFFORTS = ("minimal", "low", "medium", "high")
 MAX_RECORDING = 1 << 20
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}")

@@ -123,3 +123,32 @@ def test_eval_folder_and_manifest(spark, tmp_path):
 def test_formats():
     assert report.counted(3, 4) == "3 of 4" and report.counted(5, 10) == "5 of 10 = 0.50" and report.counted(0, 0) == "n/a"
     assert report.money(None) == "n/a" and report.money(0.0012) == "$0.001200" and report.money(1.5) == "$1.5000"
+
+
+def test_adapters():
+    from quillworks.operators import adapters as A
+
+    sent = []
+
+    def post(status, reply):
+        def f(url, body, headers, timeout):
+            sent.append((url, json.loads(body), headers))
+            return status, {}, reply
+        return f
+
+    chat = json.dumps({"choices": [{"message": {"content": [{"text": "a"}, {"text": "b"}]}, "finish_reason": "length"}], "usage": {"prompt_tokens": 6, "completion_tokens": 4, "completion_tokens_details": {"reasoning_tokens": 9}}})
+    r = A.openrouter("k" * 20, json_mode=True, post=post(200, chat))("m", "p", "t")
+    assert (r["text"], r["truncated"], r["input_tokens"], r["reasoning_tokens"]) == ("ab", True, 6, 9) and sent[-1][1]["temperature"] == 0 and sent[-1][1]["response_format"]
+    A.openai("k" * 20, effort="low", post=post(200, chat))("m", "p", "t")
+    assert "max_completion_tokens" in sent[-1][1] and "temperature" not in sent[-1][1] and sent[-1][1]["reasoning_effort"] == "low"
+    m = A.Messages("k" * 20, post=post(200, json.dumps({"content": [{"type": "thinking"}, {"type": "text", "text": "x"}], "stop_reason": "max_tokens", "usage": {"input_tokens": 3}})))("m", "p", "t")
+    assert (m["text"], m["truncated"], m["input_tokens"], m["output_tokens"]) == ("x", True, 3, 0)
+    with pytest.raises(A.AdapterError) as e:
+        A.openai("secret-key-1234567", post=post(400, "no secret-key-1234567"))("m", "p", "t")
+    assert "secret-key" not in str(e.value)
+    tries = []
+    with pytest.raises(A.AdapterError):
+        A.request_json(lambda *a: tries.append(1) or (500, {}, "x"), "u", "{}", {}, (), sleep=lambda s: None)
+    assert len(tries) == 4
+    row = A.AsPanelRow(Recorded([], {"j": 0.9, "k": 0.5}), '{"j": 1, "k": 1}')("m", "p", "t")
+    assert json.loads(row["text"]) == {"j": {"flag": True, "p": 0.9}}

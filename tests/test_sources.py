@@ -128,7 +128,7 @@ def test_panel_prices_bank_recordings(tmp_path):
     assert entries[0].prefer == ("a-1",) and prices == {"openai": "p.yaml"}
     for bad in ("provider: other", "match: '('", "budget: 0", "budget: yes"):
         with pytest.raises(files.FileError):
-            files.parse_panel(f"version: 1\nmodels:\n  - id: a\n    provider: jev\n    match: a\n    {bad}\n".replace("    provider: jev\n" if bad.startswith("prov") else "\0", "").replace("    match: a\n" if bad.startswith("match") else "\0", ""))
+            files.parse_panel(f"version: 1\nmodels:\n  - id: a\n    provider: judge\n    match: a\n    {bad}\n".replace("    provider: judge\n" if bad.startswith("prov") else "\0", "").replace("    match: a\n" if bad.startswith("match") else "\0", ""))
     rows, cite = files.parse_prices("source: list\nverified_on: 2026-01-02\ncurrency: usd_per_million_tokens\nmodels:\n  - {match: a, input: 1, output: 5}\n", "p")
     assert rows == [(0, "a", 1e-6, 5e-6)] and "2026-01-02" in cite
     with pytest.raises(files.FileError):
