@@ -2,7 +2,8 @@
 
 A word is the mean of the vectors of its character n-grams, so a misspelling never seen shares most of its n-grams
 with the word it stands for.  A window of words is the mean of its words, and a linear softmax over two classes (a
-logistic unit on the difference) scores it; a document is as toxic as its most toxic window, so an insult weighs the
+logistic unit on the difference) scores it.  A word that repeats in a window counts once, its further places nothing,
+so a run of one harmless word is not read as loudly as an insult.  A document is as toxic as its most toxic window, so an insult weighs the
 same in a long text as in a short one.  Vectors and classifier are trained together: first every window of a document
 carries the document's label, then only the window that decides it, then scale and offset are fitted to the labels.
 
@@ -27,9 +28,13 @@ GRAMS = (3, 4, 5)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams_of(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits that hold a letter."""
+    return [w for w in WORDS.findall(text.lower()) if not w.isdigit()]
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Bucket of each character n-gram of each word with its edges marked, the word it is of, and the number of words."""
-    words = WORDS.findall(text.lower())
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     code = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -45,6 +50,15 @@ def grams_of(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets), np.concatenate(owners), len(words)
 
 
+def repeats(words: list[str], within: int) -> np.ndarray:
+    """Places of words that also stand less than so many places before."""
+    known: dict[str, int] = {}
+    ids = np.array([known.setdefault(w, len(known)) for w in words])
+    order = np.argsort(ids, kind="stable")
+    again = (ids[order][1:] == ids[order][:-1]) & (order[1:] - order[:-1] < within)
+    return order[1:][again]
+
+
 @dataclass
 class Model:
     """Weight of each n-gram bucket (its vector times the classifier), offset, final scale and offset, score of no words."""
@@ -57,11 +71,13 @@ class Model:
     window: int = WINDOW
 
     def logit(self, text: str) -> float | None:
-        bucket, word, n_words = grams_of(text)
+        words = words_of(text)
+        bucket, word, n_words = grams_of(words)
         if not n_words:
             return None
         s = np.bincount(word, weights=self.weights[bucket], minlength=n_words) / np.bincount(word, minlength=n_words)
         n = min(self.window, n_words)
+        s[repeats(words, n)] = 0.0
         c = np.concatenate([[0.0], np.cumsum(s)])
         return self.bias + float((c[n:] - c[:-n]).max()) / n
 
@@ -86,24 +102,26 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
     if len(set(labels)) < 2:
         return flat
     ids: dict[str, int] = {}
-    occ, sizes, docs = [], [], []
+    occ, counts, sizes, docs = [], [], [], []
     for d, text in enumerate(texts):
-        own = [ids.setdefault(w, len(ids)) for w in WORDS.findall(text.lower())]
+        own = [ids.setdefault(w, len(ids)) for w in words_of(text)]
         for i in range(0, max(1, len(own) - WINDOW // 2), WINDOW // 2):
             if piece := own[i : i + WINDOW]:
-                occ.append(np.array(piece, np.int32))
+                distinct = list(dict.fromkeys(piece))
+                occ.append(np.array(distinct, np.int32))
+                counts.append(len(distinct))
                 sizes.append(len(piece))
                 docs.append(d)
     if not occ:
         return flat
-    gram, word_of, n_words = grams_of(" ".join(ids))
+    gram, word_of, n_words = grams_of(list(ids))
     if n_words != len(ids):
         raise AssertionError("a word of the sample splits in two")
     n_grams = np.bincount(word_of, minlength=n_words)
     occ_, sizes_, docs_ = np.concatenate(occ), np.array(sizes), np.array(docs)
     del occ
-    first = np.concatenate([[0], np.cumsum(sizes_)[:-1]])
-    window_of = np.repeat(np.arange(len(sizes_)), sizes_)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    window_of = np.repeat(np.arange(len(sizes_)), counts)
     seen, doc_first = np.unique(docs_, return_index=True)
     per_doc = np.diff(np.append(doc_first, len(docs_)))
     y_doc, y_window = y[seen], y[docs_]
