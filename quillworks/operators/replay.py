@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_PHRASES = 100_000
 
@@ -44,3 +45,18 @@ def match_states(states: DataFrame, recorded: DataFrame, last: bool = True) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "ord"])
 
     return states.select("doc_id", "text").mapInArrow(run, "doc_id long, ord long")
+
+
+def recording_of(outcomes: DataFrame, texts: DataFrame, run_date: str | None = None, limit: int = 20_000) -> dict:
+    """A recording of judged paragraphs: outcomes as run_judge() gives them, texts (key, text).
+
+    Shorter texts come first, so that in a growing draft the longest one that it contains answers.  One failure is a
+    failure of the whole, as a recording with holes would answer for the wrong paragraph.
+    """
+    if not outcomes.where("outcome <> 'answered'").limit(1).isEmpty():
+        raise ValueError("a paragraph was not answered, so nothing is recorded")
+    rows = outcomes.join(texts, "key").selectExpr("text", "nouls", "input_tokens", "latency_ms").orderBy(F.length("text"), "text").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a recording holds at most {limit} paragraphs")
+    responses = [{"match": r.text, "nouls": dict(sorted(r.nouls.items())), "inputTokens": r.input_tokens, "latencyMs": r.latency_ms} for r in rows]
+    return ({"measured": True, "runDate": run_date} if run_date else {}) | {"default": {"nouls": {}}, "responses": responses}

@@ -249,3 +249,21 @@ def test_streaming(spark, tmp_path):
 def test_default_rules_stay_quiet_on_structure(spark):
     text = "---\ntitle: a: b: c: d\n---\n\n| a: | b: |\n| --- | --- |\n| c: | d: |\n\n<!-- x: y: z: — -->\n\n> quoted — text\n\n[a]: http://x.example\n\nPages 10–20 at 10:30.\n"
     assert check(spark.createDataFrame([("s", text)], "file string, text string"), default_ruleset()).flags.count() == 0
+
+
+def test_recording(spark, tmp_path):
+    import json
+
+    from quillworks.operators import replay
+    from quillworks.sources.files import load_recording
+
+    drafts = spark.createDataFrame([("f", "One bad. Two fine.")], "file string, text string")
+    asked = live.recordable(drafts).select(F.sha2("text", 256).alias("key"), "text", F.lit('{"j": 1}').alias("questions"))
+    done = judge.run_judge(asked, judge.Recorded([("fine", {"j": 0.2})], {"j": 0.9})).checkpoint()
+    value = replay.recording_of(done, asked.select("key", "text"), "2026-01-01")
+    assert [r["match"] for r in value["responses"]] == ["One bad.", "One bad. Two fine."]
+    (tmp_path / "r.json").write_text(json.dumps(value))
+    again = load_recording(str(tmp_path), "r").judge()
+    assert [again.ask(t, '{"j": 1}')["nouls"].get("j") for t in ("One bad.", "One bad. Two fine.", "else")] == [0.9, 0.2, None]
+    with pytest.raises(ValueError):
+        replay.recording_of(done.withColumn("outcome", F.lit("failed")), asked.select("key", "text"))
