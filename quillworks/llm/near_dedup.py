@@ -120,9 +120,10 @@ def signatures(docs: DataFrame, shingle: int, k: int, whole: int) -> DataFrame:
 
 def prefixes(reps: DataFrame, heavy: DataFrame, t: int, k: int, whole: int) -> DataFrame:
     """mode, value, id, n: what of each class is listed.  heavy (value, df) is sent to every task; its caller bounds it."""
-    order = np.array([(r[0], r[1]) for r in heavy.collect()], np.int64).reshape(-1, 2)
-    order = order[np.argsort(order[:, 0].view(np.uint64))]
-    sent = reps.sparkSession.sparkContext.broadcast((order[:, 0].tobytes(), order[:, 1].tobytes()))
+    rows = heavy.select("value", "df").toPandas()
+    value, df = rows["value"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int64)
+    order = np.argsort(value)
+    sent = reps.sparkSession.sparkContext.broadcast((value[order].tobytes(), df[order].tobytes()))
     least = math.floor(k * margin(t / 100, k))
 
     def run(batches: Iterator) -> Iterator:
