@@ -299,43 +299,27 @@ def dropped_by_reason(dropped: list[tuple[str, str]]) -> dict[str, list[str]]:
 
 
 def pattern_for_java(pattern: str, flags: str = "") -> str:
-    """An ECMAScript pattern in Java's dialect: ASCII word boundaries and the wider white space."""
+    """An ECMAScript pattern in Java's dialect.
+
+    Word boundaries become ASCII, white space the wider set, and a bracket inside a class, which Java would read as a
+    class of its own, is escaped.
+    """
     from ..functions import text as T
 
-    out, i, inside = [], 0, False
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two == r"\b" and not inside:
-            out.append(T.BOUNDARY)
-        elif two == r"\s":
-            out.append(T.WS_SET if inside else T.WS)
-        elif two == r"\S" and not inside:
-            out.append(T.NOT_WS)
-        elif two[:1] == "\\":
-            out.append(two)
-        else:
-            inside = (inside or two[:1] == "[") and two[:1] != "]"
-            out.append("\\[" if two[:1] == "[" and inside and "".join(out).rfind("[") >= 0 and _in_class(pattern[:i]) else two[:1])
-            i -= 1
-        i += 2
-    unknown = set(flags) - set("gimsu")
-    if unknown:
+    if unknown := set(flags) - set("gimsu"):
         raise RulesetError(f"the flags {''.join(sorted(unknown))} are not supported")
-    names = "".join(c for c in "ims" if c in flags)
-    return (f"(?{names.replace('i', 'iu') if 'u' in flags and 'i' in names else names}d)" if names else "(?d)") + "".join(out)
-
-
-def _in_class(before: str) -> bool:
-    inside, i = False, 0
-    while i < len(before):
-        if before[i] == "\\":
-            i += 1
-        elif before[i] == "[":
-            inside = True
-        elif before[i] == "]":
-            inside = False
-        i += 1
-    return inside
+    outside = {r"\b": T.BOUNDARY, r"\s": T.WS, r"\S": T.NOT_WS}
+    in_class = {r"\s": T.WS_SET, "[": r"\[", "&&": r"&\&"}
+    out, inside = [], False
+    for token in re.findall(r"\\.|&&|.", pattern, re.DOTALL):
+        if inside:
+            out.append(in_class.get(token, token))
+            inside = token != "]"
+        else:
+            out.append(outside.get(token, token))
+            inside = token == "["
+    letters = "".join(c for c in "ims" if c in flags) + ("u" if "i" in flags and "u" in flags else "")
+    return f"(?{letters}d)" + "".join(out)
 
 
 def rules_frame(spark, ruleset: Ruleset):  # noqa: ANN001, ANN201
