@@ -66,10 +66,10 @@ def normalise_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
-def pieces(text: Column, pattern: str) -> Column:
+def pieces(text: Column, pattern: str | Column) -> Column:
     """The text cut in front of every match; the first piece is what precedes all matches."""
     clean = F.translate(text, MARK, " ")
-    return F.split(F.regexp_replace(clean, pattern, MARK + "$0"), MARK)
+    return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(MARK + "$0")), MARK)
 
 
 def running(values: Column) -> Column:
@@ -82,7 +82,7 @@ def running(values: Column) -> Column:
     )
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
+def match_offsets(text: Column, pattern: str | Column) -> Column:
     """Zero-based offset of every match, empty matches too."""
     return running(F.transform(pieces(text, pattern), F.length))
 

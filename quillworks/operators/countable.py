@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,10 @@ def inflected(word: str) -> str:
 def word_list_pattern(words: Sequence[str]) -> str:
     """Longest first, so that a phrase wins over its first word."""
     fold = "(?iu)" if any(not w.isascii() for w in words) else "(?i)"
-    return f"{fold}{T.BOUNDARY}(?:{'|'.join(inflected(w) for w in sorted(words, key=len, reverse=True))}){T.BOUNDARY}"
+    plain = all(re.fullmatch(r"[A-Za-z0-9_](?:.*[A-Za-z0-9_])?", w.strip(), re.DOTALL) for w in words)
+    # Next to a word character a boundary is one look at the other side.
+    before, after = ("(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])") if plain else (T.BOUNDARY, T.BOUNDARY)
+    return f"{fold}{before}(?:{'|'.join(inflected(w) for w in sorted(words, key=len, reverse=True))}){after}"
 
 
 def spared_pattern(phrase: str) -> str:
@@ -118,14 +122,21 @@ def word_offsets(text: Column, words: Sequence[str], spared: Sequence[str] = ())
     pattern = word_list_pattern(words)
     found = T.match_offsets(text, pattern)
     if spared := [s for s in spared if s.strip()]:
-        spans = []
-        for phrase in spared:
-            p = spared_pattern(phrase)
-            starts, texts = T.match_offsets(text, p), F.regexp_extract_all(text, F.lit(p), F.lit(0))
-            spans.append(F.transform(F.arrays_zip(starts.alias("a"), texts.alias("t")), lambda z: F.struct(z["a"].alias("a"), (z["a"] + F.length(z["t"])).alias("b"))))
-        all_ = F.concat(*spans)
+        # One expression over the phrases, not one for each: a plan is built faster, and few texts get here.
+        def spans(p: Column) -> Column:
+            at = F.arrays_zip(T.match_offsets(text, p).alias("a"), F.regexp_extract_all(text, p, F.lit(0)).alias("t"))
+            return F.transform(at, lambda z: F.struct(z["a"].alias("a"), (z["a"] + F.length(z["t"])).alias("b")))
+
+        all_ = F.flatten(F.transform(F.lit([spared_pattern(x) for x in spared]), spans))
         found = T.let(all_, lambda s: F.filter(T.match_offsets(text, pattern), lambda m: ~F.exists(s, lambda z: (m >= z["a"]) & (m < z["b"]))))
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    # A search for the bare stems is far cheaper than the pattern, and most paragraphs hold none.
+    stems = sorted({(w.split() or [""])[0].lower() for w in words})
+    stems = [x[:-1] if x[-1:] in ("e", "y") and len(x) > 1 else x for x in stems]
+    hit = text.rlike(pattern)
+    if all(x.isascii() and x for x in stems):
+        any_stem = lambda low: reduce(lambda p, q: p | q, [F.contains(low, F.lit(x)) for x in stems])
+        hit = T.let(F.lower(text), any_stem) & hit
+    return F.when(hit, found).otherwise(none)
 
 
 def rule_lines(rule: Rule, text: Column) -> Column:
