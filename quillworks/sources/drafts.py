@@ -70,7 +70,7 @@ def read_drafts(spark: SparkSession, paths: Sequence[str], root: str = "") -> tu
 
 
 def read_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """A folder in any store that Spark reads: listing and reading are Spark's."""
+    """A folder in any store that Spark reads: listing and reading are Spark's, which follows links of a local folder."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.col("path")
     wanted = F.lower(path).rlike(r"\.(md|markdown|txt)$") & ~path.rlike(r"/\.") & ~path.rlike("/node_modules/")
