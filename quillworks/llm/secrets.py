@@ -25,7 +25,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 KINDS = ("assign", "access", "hex", "account", "weak", "blob", "endpoint")
 ACCOUNT = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user_?name|username|account|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.IGNORECASE | re.ASCII)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{24,256}={0,2}(?![A-Za-z0-9+/=_-])")
+BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]+|(?:host|endpoint|server|base_?url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?""", re.ASCII)
 BLANK = re.compile(r"\n[ \t\r]*\n")
 #: What completes a candidate: any of each group must be near.
@@ -66,11 +66,14 @@ class Intervals:
 
 def link(text: str, found: dict[str, list[Span]], reach: int) -> dict[str, list[Span]]:
     """The weak candidates that parts near them complete."""
-    if not any(found.values()):
-        return {}
+    # Every need names an identity (access, account) and a secret: without one of either nothing can be completed.
     found["account"] = [m.span() for m in ACCOUNT.finditer(text)]
+    if not found["access"] and not found["account"]:
+        return {}
     strong = Intervals(found["assign"] + found["access"] + found["hex"])
     found["blob"] = [m.span() for m in BLOB.finditer(text) if not strong.meets(*m.span())]
+    if not any(found[k] for k in ("assign", "hex", "weak", "blob")):
+        return {}
     found["endpoint"] = [m.span() for m in ENDPOINT.finditer(text)] if "=" in text or ":" in text else []
     parts = {k: Intervals(v) for k, v in found.items() if v}
     edges = [0, *(m.end() for m in BLANK.finditer(text)), len(text)]
