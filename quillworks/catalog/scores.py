@@ -411,7 +411,7 @@ def repeat_spread(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_slots(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d).where("doc_id < 200").select("doc_id", F.col("doc_id").alias("doc_index"))
+    docs = documents(spark, d).select("doc_id", F.col("doc_id").alias("doc_index"))
     m = spark.createDataFrame([("m0", 0), ("m1", 1), ("m2", 2)], "model_id string, ord int")
     return bench.call_plan(m, docs, 2).select("repeat", "doc_id", "model_id", "slot")
 

@@ -63,3 +63,15 @@ def test_the_plan_of_the_check_has_no_exchange_and_no_python(spark):
     flags = countable_flags(chunk_plain(df), rules)
     plan = flags._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "MapInArrow" not in plan
+
+
+def texts_table(spark, tmp_path, rows):
+    """A folder whose only table is documents."""
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_call_slots_of_every_document(spark, tmp_path):
+    ids = [0, 1, 199, 200, 201, 5_000, 10**9 + 1]
+    got = Q.queries()["call_slots"](spark, texts_table(spark, tmp_path, [(i, "x") for i in ids])).collect()
+    assert sorted(map(tuple, got)) == sorted((r, i, f"m{p}", (p - i) % 3) for r in (1, 2) for i in ids for p in range(3))
