@@ -172,8 +172,8 @@ def state_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).where("length(text) <= 3000").select("doc_id", F.posexplode(live.sentence_prefixes(F.col("text"))).alias("nth", "prefix"))
-    return rows.select("doc_id", "nth", F.length("prefix").cast("long").alias("chars"))
+    rows = documents(spark, d).select("doc_id", F.posexplode(live.prefix_lengths(F.col("text"))).alias("nth", "chars"))
+    return rows.select("doc_id", "nth", F.col("chars").cast("long").alias("chars"))
 
 
 def scrubbed_messages(spark: SparkSession, d: str) -> DataFrame:

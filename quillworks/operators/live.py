@@ -33,6 +33,21 @@ def sentence_prefixes(text: Column) -> Column:
     return F.filter(F.array_distinct(cut), lambda x: x != "")
 
 
+def prefix_lengths(text: Column) -> Column:
+    """The length of each of sentence_prefixes, from the places of the gaps: no prefix is built."""
+    gap = f"(?<=[.!?]){T.WS}+"
+
+    def ends(whole: Column) -> Column:
+        gaps = F.transform(F.regexp_extract_all(whole, F.lit(gap), F.lit(0)), F.length)
+        parts = F.arrays_zip(F.transform(F.split(whole, gap), F.length).alias("part"), gaps.alias("gap"))
+        nexts = T.running(F.transform(parts, lambda z: z["part"] + F.coalesce(z["gap"], F.lit(0))))
+        # What stands before a gap ends with a terminator, so there is nothing to trim.
+        cut = F.transform(F.arrays_zip(nexts.alias("next"), gaps.alias("gap")), lambda z: z["next"] - z["gap"])
+        return F.filter(F.array_distinct(F.concat(cut, F.array(F.length(T.trim_end(whole))))), lambda n: n > 0)
+
+    return T.let(T.normalise_newlines(text), ends)
+
+
 def around(text: Column, at: Column) -> Column:
     """[start, end) of the word from an offset on, or of a mark with the word on either side."""
     rest, before = F.substring(text, at + 1, F.length(text)), F.substring(text, F.lit(1), at)

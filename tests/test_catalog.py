@@ -75,3 +75,25 @@ def test_call_slots_of_every_document(spark, tmp_path):
     ids = [0, 1, 199, 200, 201, 5_000, 10**9 + 1]
     got = Q.queries()["call_slots"](spark, texts_table(spark, tmp_path, [(i, "x") for i in ids])).collect()
     assert sorted(map(tuple, got)) == sorted((r, i, f"m{p}", (p - i) % 3) for r in (1, 2) for i in ids for p in range(3))
+
+
+def test_sentence_prefixes_of_long_texts(spark, tmp_path):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quillworks.functions import text as T
+    from quillworks.operators import live
+
+    ws = f"[{T.WS_SET}]"
+    texts = ["One. Two!  three", "", " \n ", None, "A.\r\nB?\rC \u00a0", "no end", " x. ", "...  ...", "A.\x01b. c", "é𝄞. \u3000Z!", "One sentence here. " * 300, "x" * 4_000, ("Ab c!\n" * 9 + "d ") * 400]
+    d = texts_table(spark, tmp_path, list(enumerate(texts)))
+    want = []
+    for i, t in enumerate(texts):
+        whole = re.sub(r"\r\n?", "\n", t or "")
+        ends = [m.end() for m in re.finditer(f"(?<=[.!?]){ws}+", whole)] + [len(whole)]
+        lengths = list(dict.fromkeys(len(re.sub(f"{ws}+$", "", whole[:e])) for e in ends))
+        want += [(i, nth, n) for nth, n in enumerate(n for n in lengths if n)]
+    assert sorted(map(tuple, Q.queries()["sentence_prefixes"](spark, d).collect())) == want
+    both = spark.read.parquet(f"{d}/documents.parquet").where("doc_id <> 8 and length(text) < 6000").select(live.prefix_lengths(F.col("text")).alias("n"), F.transform(live.sentence_prefixes(F.col("text")), F.length).alias("m"))
+    assert all(r.n == r.m for r in both.collect())
