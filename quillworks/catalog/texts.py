@@ -45,10 +45,12 @@ def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wrapped(spark: SparkSession, d: str) -> DataFrame:
-    body = F.substring(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit(" ")), 1, 80)
+    """Whole documents as the kinds of block by doc_id: marks stand before each line that is not blank."""
+    body = T.normalise_newlines(F.col("text"))
+    marked = lambda mark: F.regexp_replace(body, F.lit(rf"(?dm)^(?=[^\n]*{T.NOT_WS})"), mark)
     case = [
-        body, F.concat(F.lit("## "), body), F.concat(F.lit("- "), body), F.concat(F.lit("> "), body),
-        F.concat(F.lit("a | b\n--- | ---\n"), body), F.concat(F.lit("<!-- "), body, F.lit(" -->")), F.concat(F.lit("[a]: https://x.example/"), F.col("doc_id").cast("string")),
+        body, marked(F.lit("## ")), marked(F.lit("- ")), marked(F.lit("> ")),
+        F.concat(F.lit("a | b\n--- | ---\n"), body), F.concat(F.lit("<!-- "), body, F.lit(" -->")), marked(F.concat(F.lit("[a]: https://x.example/"), F.col("doc_id").cast("string"), F.lit(" "))),
         F.concat(F.lit("---\nkey: "), body, F.lit("\n---")),
     ]
     text = case[0]
@@ -178,7 +180,7 @@ def sentence_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 def scrubbed_messages(spark: SparkSession, d: str) -> DataFrame:
     key = "sk-live-0123456789abcdef-XYZ"
-    note = F.concat(F.lit("error with "), F.substring(F.lit(key), 1, 28 - 0), F.lit(" and "), F.lit(key[:18]), F.lit(" at "), F.lit(key[-17:]), F.lit(": "), F.substring("text", 1, 20))
+    note = F.concat(F.lit("error with "), F.substring(F.lit(key), 1, 28 - 0), F.lit(" and "), F.lit(key[:18]), F.lit(" at "), F.lit(key[-17:]), F.lit(": "), F.col("text"))
     return documents(spark, d).select("doc_id", scrub.scrub_column(note, [key]).alias("message"))
 
 
@@ -209,7 +211,7 @@ def fenced_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_masked_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = documents(spark, d).select(F.concat(F.lit("doc-"), "doc_id").alias("file"), F.concat(F.lit("`a | b` and "), F.when(F.col("doc_id") % 2 == 0, F.lit("``c | d``")).otherwise(F.lit("c | d")), F.lit(" end")).alias("text"))
+    rows = documents(spark, d).select(F.concat(F.lit("doc-"), "doc_id").alias("file"), F.concat(F.lit("`a | b` and "), F.when(F.col("doc_id") % 2 == 0, F.lit("``c | d``")).otherwise(F.lit("c | d")), F.lit(" end\n\n"), F.col("text")).alias("text"))
     return R.countable_flags(C.chunk_drafts(rows), Ruleset((PIPE,))).select("file", "line", "rule")
 
 

@@ -97,3 +97,33 @@ def test_sentence_prefixes_of_long_texts(spark, tmp_path):
     assert sorted(map(tuple, Q.queries()["sentence_prefixes"](spark, d).collect())) == want
     both = spark.read.parquet(f"{d}/documents.parquet").where("doc_id <> 8 and length(text) < 6000").select(live.prefix_lengths(F.col("text")).alias("n"), F.transform(live.sentence_prefixes(F.col("text")), F.length).alias("m"))
     assert all(r.n == r.m for r in both.collect())
+
+
+def test_kinds_of_whole_documents(spark, tmp_path):
+    from quillworks.catalog.texts import WRAPS
+
+    two = "one two three four five six\nseven eight nine ten eleven twelve\n\nlast | one"
+    texts = [two] * 8 + ["a b c\r\nd e f"] * 8 + ["\n".join(["a line of words."] * 3_000)] * 8
+    d = texts_table(spark, tmp_path, list(enumerate(texts)))
+    both = {"prose": "prose", "heading": "heading", "list": "list", "block_quote": "block_quote", "link_definition": "link_definition"}
+    want = [(f"doc-{i}", "prose" if k == "front_matter" else k, 1) for i, k in enumerate(WRAPS)] + [(f"doc-{i}", both.get(k, "prose"), {"table": 6, "front_matter": 5}.get(k, 4)) for i, k in enumerate(WRAPS)]
+    want += [(f"doc-{i}", WRAPS[i % 8], 1) for i in range(8, 24)]
+    assert sorted(map(tuple, Q.queries()["chunk_kinds"](spark, d).collect())) == sorted(want)
+    # Lists: one of 12 words, two shorter ones, one long one.
+    mix = {r.kind: (r.n, r.n_prose_like) for r in Q.queries()["chunk_kind_mix"](spark, d).collect()}
+    n = {k: sum(x[1] == k for x in want) for k in WRAPS}
+    assert mix == {k: (n[k], {"prose": n[k], "block_quote": n[k], "list": 2}.get(k, 0)) for k in WRAPS}
+
+
+def test_whole_texts_are_scrubbed_and_masked(spark, tmp_path):
+    from quillworks.operators.scrub import HIDDEN, scrub
+
+    key = "sk-live-0123456789abcdef-XYZ"
+    texts = [f"{'x' * 50}\n{key} and {key[:20]}.", "plain", "", f"{'long ' * 5_000}{key}"]
+    d = texts_table(spark, tmp_path / "a", list(enumerate(texts)))
+    got = dict(map(tuple, Q.queries()["scrubbed_messages"](spark, d).collect()))
+    assert got == {i: f"error with {HIDDEN} and {HIDDEN} at {HIDDEN}: {scrub(t, [key])}" for i, t in enumerate(texts)} and key not in "".join(got.values())
+    texts = ["x | y\n\n`p | q`", "plain", "`open | tick", f"{'w ' * 100}\n\nx | `y`", "``a | ` | b``"]
+    d = texts_table(spark, tmp_path / "b", list(enumerate(texts)))
+    flags = Q.queries()["code_masked_flags"](spark, d).collect()
+    assert sorted((r.file, r.line) for r in flags) == [("doc-0", 3), ("doc-1", 1), ("doc-2", 3), ("doc-3", 1), ("doc-3", 5)]
