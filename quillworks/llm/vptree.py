@@ -8,7 +8,7 @@ across the median sphere take the other.  The ball's radius is divided by ``fact
 a nearer row and so is exact, larger factors prune more.
 
 Equal vectors of a shard are stored once with their k + 1 smallest ids, as no other of them can be among the k
-nearest when ties go to the smaller id; so a vector that many rows share costs no more than one.
+nearest when ties go to the smaller id (an id counts once there, as its repeated rows meet in one shard); so a vector that many rows share costs no more than one.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ def build(ids: np.ndarray, vectors: np.ndarray, k: int) -> dict:
     """ids and vectors of a shard, in tree order, with the nodes (start, end, radius, inner, outer), children after their parent."""
     order = np.lexsort([ids, *vectors.T[::-1]])
     ids, vectors = ids[order], vectors[order]
+    once = np.ones(len(ids), bool)
+    once[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
+    ids, vectors = ids[once], vectors[once]
     new = np.ones(len(ids), bool)
     new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
     group = np.cumsum(new) - 1
@@ -159,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.
     def gather(pdf_key, pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("_id") if pdf["_v"].map(tuple).groupby(pdf["_id"]).nunique().max() == 1 else pdf
+        pdf = pdf[~pdf.assign(_v=pdf["_v"].map(tuple)).duplicated(["_id", "_v"])]
         queries = (pdf["_id"].to_numpy(np.int64), np.stack(pdf["_v"].to_numpy()))
         return pd.DataFrame({"_dim": [pdf_key[0]], "_block": [pdf_key[1]], "_queries": [pickle.dumps(queries)]})
 
@@ -184,7 +187,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.
     found = pairs.select("_tree", "_queries").mapInPandas(search, "query_id long, vec_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     # A query has k rows from each shard at most.
-    top = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", best).where(F.col("rank") <= k)
+    top = found.withColumn("rank", best).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", "score")
 
 

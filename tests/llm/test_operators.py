@@ -278,6 +278,28 @@ def test_nearest(spark):
     assert loose == 40
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(40, 4)).astype(np.float32).tolist()
+    v[7] = v[8] = v[9] = v[0]
+    once = [(i, x) for i, x in enumerate(v)] + [(20, [2 * y for y in v[20]]), (10, v[11])]
+    near = [(50, [x + 0.001 for x in v[0]])]
+    many = [once * 2, once + near * 6, once + [(7, v[0])] * 6 + near, once * 3 + [(0, v[0])] * 9]
+    for rows in many:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        distinct = sorted({(i, tuple(np.array(x, np.float32).astype(float))) for i, x in rows})
+        for size in (8, 4096):
+            got = {}
+            for r in vptree.nearest(df, F.col("vec_id") % 10 == 0, shard_rows=size, block_rows=2).collect():
+                got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+            for q in (0, 10, 20, 30):
+                a = [np.array(x) for i, x in distinct if i == q]
+                pairs = [(-float(vptree.exact_cosine(x[None], np.array(y)[None])[0]), i) for x in a for i, y in distinct if i != q]
+                want = sorted(pairs)[:5]
+                found = sorted(got[q])
+                assert [f[0] for f in found] == [1, 2, 3, 4, 5] and [f[1] for f in found] == [w[1] for w in want], (q, size)
+
+
 # --- op6 -----------------------------------------------------------------------
 
 
