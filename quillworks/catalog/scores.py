@@ -431,7 +431,7 @@ def reply_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def seeded_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Faults planted in clean documents by rule, exact shuffle, three a rule."""
-    bases = documents(spark, d).where("length(text) between 200 and 3000").select(F.concat(F.lit("C"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), F.concat(F.lit("doc-"), "doc_id").alias("file"), F.lit(1).alias("line"), "text")
+    bases = documents(spark, d).where("text is not null").select(F.concat(F.lit("C"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), F.concat(F.lit("doc-"), "doc_id").alias("file"), F.lit(1).alias("line"), "text")
     rules_ = (
         Rule("dash_present", "regex", "m", builtin="dash_present", seed=Seed("insert_em_dash", 1)), Rule("sentence_rhythm", "regex", "m", builtin="sentence_rhythm", seed=Seed("equalize_sentences")),
         Rule("slop_vocab", "regex", "m", builtin="slop_vocab", seed=Seed("insert_slop_word", 1)), Rule("tricolon", "judgment", "m", what="w", criteria=("a", "b"), seed=Seed(splice=("Fast, calm, kind.", "We plan, we build, we learn."))),

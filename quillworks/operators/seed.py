@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -223,28 +223,52 @@ def split_clean(bases: DataFrame, ruleset: Ruleset) -> DataFrame:
     return rows.withColumn("clean", F.size("_t") == 0).withColumn("reason", reason).drop("_t")
 
 
-def candidates(clean: DataFrame, ruleset: Ruleset, seed: int, per_rule: int, mode: str, bank: Bank | None, tries: int = 8) -> DataFrame:
-    """Planted texts in the order each rule would try them; refusals carry a reason and no text."""
-    rules = [(i, r) for i, r in enumerate(ruleset.rules) if r.seed]
-    spark = clean.sparkSession
-    heads = spark.createDataFrame([(i, r.id, key_py(f"{seed}:{r.id}")) for i, r in rules], "ord int, rule string, key long")
-    rows = clean.select("id", "file", "text").crossJoin(F.broadcast(heads))
+def firsts(rows: DataFrame, heads: list[tuple[int, str, int]], most: int, mode: str = "exact") -> DataFrame:
+    """ord, key, id, file, nth, total: the first rows (id, file) in the order of each head (ord, rule, key).
+
+    exact: of the sequential shuffle of all rows, sorted by id; total - 1 draws are taken by it.  hash: by keyed hash;
+    total is null.  Only ids and files meet.
+    """
+    heads_ = rows.sparkSession.createDataFrame([(i, k) for i, _, k in heads], "ord int, key long")
+    all_ = rows.select("id", "file").crossJoin(F.broadcast(heads_))
     if mode == "hash":
-        # The first paragraphs by keyed hash: ranks are cut in each task before they meet.
+        # Ranks are cut in each task before they meet.
         w = Window.partitionBy("ord").orderBy(F.xxhash64("key", "id"), "id")
-        rows = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_rule * tries)
-    by_id = dict(rules)
+        ranked = all_.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+        return ranked.select("ord", "key", "id", "file", "nth", F.lit(None).cast("int").alias("total"))
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        order = Draws(int(pdf["key"].iloc[0])).shuffled(list(range(len(pdf))))
+        return pdf.iloc[order[:most]].assign(nth=range(1, min(most, len(pdf)) + 1), total=len(pdf))[["ord", "key", "id", "file", "nth", "total"]]
+
+    return all_.groupBy("ord").applyInPandas(run, "ord int, key long, id string, file string, nth int, total int")
+
+
+def drawn(key: int, total: int | None) -> Draws:
+    """The draws of a key as the shuffle of so many rows leaves them."""
+    draws = Draws(key)
+    draws.n = max(0, (total or 0) - 1)
+    return draws
+
+
+def candidates(bases: DataFrame, clean: DataFrame, ruleset: Ruleset, seed: int, most: int, mode: str, bank: Bank | None, ords: Collection[int] | None = None) -> DataFrame:
+    """Planted texts of the first paragraphs each rule (all, or those of the given places) would try, in that order; refusals carry a reason and no text.
+
+    Texts come from the bases by (id, file), which name one paragraph: its rules are not run a second time.
+    """
+    by_id = {i: r for i, r in enumerate(ruleset.rules) if r.seed and (ords is None or i in ords)}
+    heads = [(i, r.id, key_py(f"{seed}:{r.id}")) for i, r in by_id.items()]
+    first = firsts(clean, heads, most, mode)
+    rows = bases.select("id", "file", "text").join(F.broadcast(first) if most <= 10_000 else first, ["id", "file"])
 
     def run(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
         at = int(pdf["ord"].iloc[0])
-        rule, draws, used, out = by_id[at], Draws(int(pdf["key"].iloc[0])), set(), []
-        if mode == "hash":
-            order = pdf.sort_values("nth").to_dict("records")
-        else:
-            order = draws.shuffled(pdf.sort_values("id").to_dict("records"))
-        for row in order:
+        total = pdf["total"].iloc[0]
+        rule, draws, used, out = by_id[at], drawn(int(pdf["key"].iloc[0]), None if pd.isna(total) else int(total)), set(), []
+        for row in pdf.sort_values("nth").to_dict("records"):
             faults = bank.ordered(rule.id, row["text"]) if bank else []
             fresh = [f for f in faults if f not in used] or faults
             common = (at, rule.id, len(out), row["id"], row["file"])
@@ -256,21 +280,13 @@ def candidates(clean: DataFrame, ruleset: Ruleset, seed: int, per_rule: int, mod
                 continue
             used.add(sentence)
             out.append((*common, sentence or None, text, name, None))
-            if sum(o[6] is not None for o in out) >= per_rule * tries:
-                break
         return pd.DataFrame(out, columns=[c.split()[0] for c in CANDIDATE.split(", ")])
 
     return rows.groupBy("ord").applyInPandas(run, CANDIDATE)
 
 
-def seed_corpus(bases: DataFrame, ruleset: Ruleset, seed: int = 1, per_rule: int = PER_RULE, mode: str = "exact", bank: Bank | None = None) -> tuple[DataFrame, DataFrame]:
-    """(seeded, refused): per_rule planted copies of clean paragraphs for each rule that carries a recipe.
-
-    A copy stays only if it trips no second countable rule, and its own rule if that is countable.  Ids S01, S02, ...
-    run over all rules in order.
-    """
-    clean = split_clean(bases, ruleset).where("clean").select("id", "file", "text")
-    made = candidates(clean, ruleset, seed, per_rule, mode, bank)
+def accepted(made: DataFrame, ruleset: Ruleset) -> DataFrame:
+    """Candidates with the reason of those that trip a second countable rule, or not their own."""
     tripped = made.withColumn("_t", R.trips(ruleset.rules, F.coalesce("text", F.lit(""))))
     own_countable = F.col("rule").isin([r.id for r in ruleset.rules if r.countable])
     second = F.filter("_t", lambda x: x != F.col("rule"))
@@ -278,27 +294,59 @@ def seed_corpus(bases: DataFrame, ruleset: Ruleset, seed: int = 1, per_rule: int
         F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.size(second) > 0, F.concat(F.lit("also tripped "), F.array_join(second, ", ")))
         .when(own_countable & ~F.array_contains("_t", F.col("rule")), "did not trip its rule")
     )
-    judged = tripped.withColumn("reason", why).drop("_t")
-    fine = judged.where("reason is null").withColumn("nth", F.row_number().over(Window.partitionBy("ord").orderBy("made"))).where(F.col("nth") <= per_rule)
+    return tripped.withColumn("reason", why).drop("_t")
+
+
+def seed_corpus(bases: DataFrame, ruleset: Ruleset, seed: int = 1, per_rule: int = PER_RULE, mode: str = "exact", bank: Bank | None = None, tries: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(seeded, refused): per_rule planted copies of clean paragraphs for each rule that carries a recipe.
+
+    A copy stays only if it trips no second countable rule, and its own rule if that is countable.  A rule goes on,
+    by rounds, until it has its copies or has tried every clean paragraph; the first round plants per_rule * tries.
+    Ids S01, S02, ... run over all rules in order.
+    """
+    clean = split_clean(bases, ruleset).where("clean").select("id", "file", "text")
+    judged, most, short = None, per_rule * tries, None
+    while judged is None or short:
+        made = accepted(candidates(bases, clean, ruleset, seed, most, mode, bank, short), ruleset).persist()
+        counts = made.groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("fine")).collect()
+        short = [r.ord for r in counts if r.fine < per_rule and r.n >= most]
+        done = made.where(~F.col("ord").isin(short)) if short else made
+        judged = done if judged is None else judged.unionByName(done)
+        most *= 8
+    judged = judged.withColumn("nth", F.count_if(F.col("reason").isNull()).over(Window.partitionBy("ord").orderBy("made")))
+    fine = judged.where(F.col("reason").isNull() & (F.col("nth") <= per_rule))
     # per_rule rows a rule at most.
     number = F.row_number().over(Window.partitionBy().orderBy("ord", "nth"))
     seeded = fine.withColumn("n", number).select(
         F.concat(F.lit("S"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(2), F.length(F.col("n").cast("string"))), F.lit("0"))).alias("id"),
         "base_id", "base_file", "rule", "transform", "sentence", T.word_count(F.col("text")).alias("words"), "text",
     )
-    return seeded, judged.where("reason is not null").select("rule", "base_id", "reason")
+    # What was tried behind the last copy was not needed.
+    return seeded, judged.where(F.col("reason").isNotNull() & (F.col("nth") < per_rule)).select("rule", "base_id", "reason")
 
 
-def near_misses(spark: SparkSession, hosts: Sequence[tuple[str, str, str]], ruleset: Ruleset, bank: Bank, seed: int = 1) -> DataFrame:
+def near_misses(spark: SparkSession, hosts: Sequence[tuple[str, str, str]] | DataFrame, ruleset: Ruleset, bank: Bank, seed: int = 1) -> DataFrame:
     """N01, N02, ...: texts that look like a fault and are none, in hosts (id, file, text); the place in the order of hosts runs over all rules."""
     out: list[tuple] = []
-    for rule in ruleset.rules:
-        draws = Draws(key_py(f"{seed}:{rule.id}:negative"))
-        if rule.id not in bank.negatives or not hosts:
+    rules = [(i, r.id, key_py(f"{seed}:{r.id}:negative")) for i, r in enumerate(ruleset.rules) if r.id in bank.negatives]
+    # No more hosts of a rule are looked at than there are near misses in all.
+    most = sum(len(bank.negatives[r]) for _, r, _ in rules)
+    found: dict[int, list] = {}
+    if isinstance(hosts, DataFrame):
+        first = hosts.select("id", "file", "text").join(F.broadcast(firsts(hosts, rules, most)), ["id", "file"])
+        for r in first.orderBy("ord", "nth").select("ord", "total", "id", "file", "text").collect():
+            found.setdefault(r[0], []).append(r[1:])
+    for i, rule, key in rules:
+        if isinstance(hosts, DataFrame):
+            total, order = (found[i][0][0], [r[1:] for r in found[i]]) if i in found else (0, [])
+            draws = drawn(key, total)
+        else:
+            draws, total = Draws(key), len(hosts)
+            order = draws.shuffled(list(hosts))
+        if not order:
             continue
-        order = draws.shuffled(list(hosts))
-        for text, why in bank.negatives[rule.id]:
-            host = order[len(out) % len(order)]
+        for text, why in bank.negatives[rule]:
+            host = order[len(out) % total]
             if text not in host[2]:
-                out.append((f"N{len(out) + 1:02d}", host[0], host[1], rule.id, why, splice_py(host[2], text, "any", draws)[0]))
+                out.append((f"N{len(out) + 1:02d}", host[0], host[1], rule, why, splice_py(host[2], text, "any", draws)[0]))
     return spark.createDataFrame(out, "id string, base_id string, base_file string, rule string, why string, text string")

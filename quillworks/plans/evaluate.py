@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,8 +111,7 @@ def evaluate(bases: DataFrame, ruleset: Ruleset, the_judge: judge.Judge | None =
     seeded = seeded.checkpoint()  # a few rows a rule; later uses must see the same
     negatives = None
     if bank:
-        hosts: Sequence = [(r[0], r[1], r[2]) for r in clean.orderBy("id").limit(1000).collect()]
-        negatives = seed.near_misses(spark, hosts, ruleset, bank, seed_value)
+        negatives = seed.near_misses(spark, clean, ruleset, bank, seed_value)
     docs = documents(clean, negatives, seeded)
     rules = facts(spark, ruleset)
     cells = arm_a(docs, rules).unionByName(arm_b(docs, ruleset, rules))

@@ -208,6 +208,26 @@ def test_seeding(spark, mode):
     assert seed.near_misses(spark, [("C00", "f", "One. Two. Three.")], rules, bank).first().id == "N01"
 
 
+@pytest.mark.parametrize("mode", ["exact", "hash"])
+def test_seeding_goes_on_until_a_rule_has_its_copies(spark, mode):
+    # Five of 300 texts have a comma site, and of those that flow evenly only long ones count.
+    rows = [(f"C{i:03d}", f"f{i}", 1, f"Text {i} ends, at once." if i % 60 == 7 else "Word one two three. " * (20 if i % 60 == 9 else 5)) for i in range(300)]
+    bases = spark.createDataFrame(rows, "id string, file string, line int, text string")
+    dash, even = Rule("dash", "regex", "m", builtin="dash_present", seed=Seed("insert_em_dash")), Rule("slop", "regex", "m", builtin="slop_vocab", words=("nowhere",), seed=Seed("insert_em_dash"))
+    made, refused = seed.seed_corpus(bases, Ruleset((dash,)), mode=mode)
+    assert made.count() == 3 and {int(r.base_id[1:]) % 60 for r in made.collect()} == {7} and refused.count() < 300
+    none, refused = seed.seed_corpus(bases, Ruleset((even,)), mode=mode)
+    assert none.count() == 0 and refused.count() == 300
+
+
+def test_near_misses_draw_hosts_from_all(spark):
+    rows = [(f"C{i:04d}", f"f{i}", f"One {i}. Two. Three.") for i in range(1_500)]
+    rules, bank = Ruleset((Rule("j", "judgment", "m", what="w", criteria=("a", "b")), Rule("k", "judgment", "m", what="w", criteria=("a", "b")))), seed.Bank({}, {"j": [(f"Near {i}.", "why") for i in range(9)], "k": [("Close.", "why")]})
+    df = spark.createDataFrame(rows, "id string, file string, text string")
+    got = seed.near_misses(spark, df, rules, bank).collect()
+    assert got == seed.near_misses(spark, rows, rules, bank).collect() and len(got) == 10 and max(r.base_id for r in got) >= "C1000"
+
+
 def test_scrub():
     key = "sk-0123456789abcdefghij"
     assert scrub.scrub(f"x {key} y {key[:17]} z {key[-16:]}", [key]) == "x [key hidden] y [key hidden] z [key hidden]"
