@@ -50,13 +50,13 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(buckets), np.concatenate(owners), len(words)
 
 
-def repeats(words: list[str], within: int) -> np.ndarray:
-    """Places of words that also stand less than so many places before."""
+def repeats(words: list[str], within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that also stand less than so many places before, and the last such place of each."""
     known: dict[str, int] = {}
     ids = np.array([known.setdefault(w, len(known)) for w in words])
     order = np.argsort(ids, kind="stable")
     again = (ids[order][1:] == ids[order][:-1]) & (order[1:] - order[:-1] < within)
-    return order[1:][again]
+    return order[1:][again], order[:-1][again]
 
 
 @dataclass
@@ -77,9 +77,12 @@ class Model:
             return None
         s = np.bincount(word, weights=self.weights[bucket], minlength=n_words) / np.bincount(word, minlength=n_words)
         n = min(self.window, n_words)
-        s[repeats(words, n)] = 0.0
         c = np.concatenate([[0.0], np.cumsum(s)])
-        return self.bias + float((c[n:] - c[:-n]).max()) / n
+        # A repeat counts nothing in the windows that hold its earlier place too.
+        at, before = repeats(words, n)
+        size = n_words - n + 2
+        twice = np.bincount(np.maximum(0, at - n + 1), s[at], size) - np.bincount(np.minimum(before, n_words - n) + 1, s[at], size)
+        return self.bias + float((c[n:] - c[:-n] - np.cumsum(twice)[:-1]).max()) / n
 
     def score(self, text: str) -> float:
         x = self.logit(text)

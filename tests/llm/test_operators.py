@@ -192,6 +192,24 @@ def test_toxicity(spark, rows):
     assert all(r.t == (zlib.crc32(str(r.doc_id).encode()) % 5 != 0) for r in fold)
 
 
+def test_toxicity_counts_a_word_once_in_each_window():
+    rnd = random.Random(8)
+    words = ["oaf", "lout", "river", "stone", "cloud", "meadow", "lamp"]
+    weights = np.zeros(toxicity.BUCKETS)
+    value = {}
+    for i, w in enumerate(words):
+        bucket, _, _ = toxicity.grams_of([w])
+        weights[bucket] += i - 2.5
+    m = toxicity.Model(weights, 0.25, 1.0, 0.0, 0.5)
+    for w in words:
+        value[w] = weights[toxicity.grams_of([w])[0]].mean()
+    for size in [1, 5, 12, 13, 14, 30, 200] * 5:
+        text = [rnd.choice(words[: rnd.choice((2, 7))]) for _ in range(size)]
+        n = min(12, size)
+        want = max(sum(value[w] for w in set(text[j : j + n])) for j in range(size - n + 1)) / n + 0.25
+        assert abs(m.logit(" ".join(text)) - want) < 1e-9
+
+
 def test_quality(spark, rows):
     rnd = random.Random(6)
     docs, labels = [], []
