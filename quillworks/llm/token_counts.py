@@ -1,17 +1,16 @@
-"""Token counts by a compiled finite-state transducer.
+"""Token counts by a splitter, memoised BPE counts of words, and joins of chunks.
 
-The tokenizer (lower-casing BPE with word ends) is compiled into two deterministic machines:
+The tokenizer (lower-casing BPE with word ends) is not compiled into a transducer, whatever the names below say:
 
-* the splitter, an automaton over character classes (space, letter, number, other) whose transitions say where a
-  word starts, with the contractions as its only look-ahead;
-* the word transducer, whose states are prefixes of words and whose transitions carry emitted-token counts.  States
-  are determinised when a word first needs them, and a path is stored with its sum, as reading it character by
-  character would only add its parts again.
+* the splitter finds where words start from character classes (space, letter, number, other), with the contractions
+  as its only look-ahead;
+* the count of a word is that of an ordinary BPE merge by heap, kept in a dictionary by whole word.  There are no
+  states or transitions with counts: merges go by rank, not from left to right, so what is emitted for a character can
+  depend on those behind it.
 
-A chunk of text is a map from entry states to exit states with a count.  Entering inside a word only changes the word
-that the chunk starts with, so a map is the chunk's first unfinished word, the count of its whole words and its last
-unfinished word, and two maps compose by counting the word that their ends form.  Composition is associative, so long
-texts are cut anywhere, chunks are read independently and joined by a tree-shaped prefix scan.
+A chunk of text is its first unfinished word, the count of its whole words and its last unfinished word, not a map of
+entry states; two chunks compose by counting the word that their ends form.  Composition is associative.  Texts up to
+CHUNK characters are one chunk, and the chunks of a longer one are read in one task.
 """
 
 from __future__ import annotations
