@@ -533,7 +533,7 @@ SQL = {
         FROM calls WHERE outcome <> 'failure' GROUP BY model_id""",
     "repeat_spread": f"""WITH {BENCH}, r AS (SELECT model_id, repeat, count(*) FILTER (outcome = 'answered') / CAST(count(*) AS DOUBLE) AS recall FROM calls GROUP BY ALL)
         SELECT model_id, {round4_sql('avg(recall)')} AS mean, {round4_sql('min(recall)')} AS least, {round4_sql('max(recall)')} AS most, count(*) AS repeats FROM r GROUP BY model_id""",
-    "call_slots": "SELECT CAST(r.repeat AS INTEGER) AS repeat, doc_id, 'm' || m.place AS model_id, CAST(((m.place - doc_id) % 3 + 3) % 3 AS INTEGER) AS slot FROM documents, range(1, 3) r(repeat), range(3) m(place) WHERE doc_id < 200",
+    "call_slots": "SELECT CAST(r.repeat AS INTEGER) AS repeat, doc_id, 'm' || m.place AS model_id, CAST(((m.place - doc_id) % 3 + 3) % 3 AS INTEGER) AS slot FROM documents, range(1, 3) r(repeat), range(3) m(place)",
     "reply_parse": """SELECT doc_id, ok, got, missing, extra FROM documents JOIN (VALUES (0, true, 'r2 true 0.90;r3 false 0.10', '', ''), (1, true, 'r2 true 1.00', 'r3', ''), (2, true, '', 'r2,r3', 'x'),
         (3, true, 'r3 false 0.20', 'r2', ''), (4, false, '', 'r2,r3', ''), (5, false, '', 'r2,r3', '')) t(k, ok, got, missing, extra) ON doc_id % 6 = k""",
 }

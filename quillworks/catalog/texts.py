@@ -59,10 +59,11 @@ def wrapped(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select(F.concat(F.lit("doc-"), "doc_id").alias("file"), text.alias("text"))
 
 
-WRAPPED = """
-body AS (SELECT doc_id, substr(replace(replace(text, chr(10), ' '), '|', ' '), 1, 80) AS b FROM documents),
+#: Documents of the driver's tables hold no blank lines, so each is one block; the mark of a list counts as a word on each line.
+WRAPPED = rf"""
 wrapped AS (
-  SELECT doc_id, 'doc-' || doc_id AS file, ['prose', 'heading', 'list', 'block_quote', 'table', 'html_comment', 'link_definition', 'front_matter'][doc_id % 8 + 1] AS kind, b FROM body)"""
+  SELECT doc_id, 'doc-' || doc_id AS file, ['prose', 'heading', 'list', 'block_quote', 'table', 'html_comment', 'link_definition', 'front_matter'][doc_id % 8 + 1] AS kind,
+         {duck_words('text')} + len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s]'))) AS words FROM documents)"""
 
 
 def chunk_kind_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +244,7 @@ SQL = {
     "check_flags": f"WITH {PARAGRAPHS}, {RHYTHM_SQL}, {FLAGS_SQL} SELECT * FROM flags",
     "chunk_paragraphs": f"WITH {PARAGRAPHS} SELECT file, line, seq, sha256(text) AS digest, {duck_words('text')} AS words FROM paragraphs",
     "chunk_kind_mix": f"""WITH {WRAPPED} SELECT kind, count(*) AS n,
-        count(*) FILTER (kind IN ('prose', 'block_quote') OR (kind = 'list' AND {duck_words('b')} >= 12)) AS n_prose_like FROM wrapped GROUP BY kind""",
+        count(*) FILTER (kind IN ('prose', 'block_quote') OR (kind = 'list' AND words >= 12)) AS n_prose_like FROM wrapped GROUP BY kind""",
     "chunk_kinds": f"WITH {WRAPPED} SELECT file, kind, CAST(1 AS INTEGER) AS line FROM wrapped",
     "sentence_bounds": f"WITH {PARAGRAPHS}, {BOUNDS.format(keys='file, line', source='paragraphs')} SELECT file, line, nth, start, \"end\" FROM bounds",
     "sentence_rhythm": rf"""WITH {PARAGRAPHS}, {RHYTHM_SQL} SELECT file, line, count(*) AS n_sentences, CAST(sum(w) AS BIGINT) AS n_words,
@@ -279,14 +280,16 @@ SQL = {
         SELECT file, line, NOT (r OR q) AS clean, CASE WHEN r OR q THEN 'already trips ' || concat_ws(', ', CASE WHEN r THEN 'sentence_rhythm' END, CASE WHEN q THEN 'pipe' END) END AS reason FROM t""",
     "state_guard": """SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'blank' WHEN length(text) + CASE doc_id % 7 WHEN 2 THEN 31 WHEN 3 THEN 281 ELSE 0 END > 24000 THEN 'too long'
         WHEN doc_id % 7 = 2 THEN 'data address' WHEN doc_id % 7 = 3 THEN 'encoded run' END AS reason FROM documents""",
-    "sentence_prefixes": rf"""WITH short AS (SELECT doc_id, text FROM documents WHERE length(text) <= 3000), {BOUNDS.format(keys='doc_id', source='short')},
-        trimmed AS (SELECT b.doc_id, b.nth, length(regexp_replace(substr(s.text, 1, b."end"), '\s+$', '')) AS chars FROM bounds b JOIN short s USING (doc_id))
-        SELECT doc_id, nth, chars FROM trimmed""",
+    "sentence_prefixes": rf"""WITH {BOUNDS.format(keys='doc_id', source='documents')},
+        trimmed AS (SELECT doc_id, start + length(regexp_replace(p, '\s+$', '')) AS chars FROM (SELECT doc_id, e - length(p) AS start, p FROM sized WHERE length(p) > 0))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chars) - 1 AS INTEGER) AS nth, CAST(chars AS BIGINT) AS chars FROM (SELECT DISTINCT doc_id, chars FROM trimmed WHERE chars > 0)""",
     "page_reactions": "SELECT doc_id, CASE WHEN p + 1e-9::DOUBLE >= 0.85::DOUBLE THEN 'recoil' WHEN p >= 0.7::DOUBLE THEN 'twitch' ELSE 'approve' END AS reaction FROM (SELECT doc_id, ((doc_id * 7919 + 104729) % 10007) / 10006.0::DOUBLE AS p FROM documents)",
     "chunk_places": f"""WITH {PARAGRAPHS}, l AS (SELECT file, n, sum(length(text) + 1) OVER (PARTITION BY file ORDER BY n) - length(text) - 1 AS start FROM lines)
         SELECT p.file, p.line, CAST(l.start AS INTEGER) AS start FROM paragraphs p JOIN l ON p.file = l.file AND p.line = l.n""",
     "excerpts": r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
         SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS excerpt FROM f""",
-    "scrubbed_messages": "SELECT doc_id, 'error with [key hidden] and [key hidden] at [key hidden]: ' || substr(text, 1, 20) AS message FROM documents",
-    "code_masked_flags": "SELECT 'doc-' || doc_id AS file, CAST(1 AS INTEGER) AS line, 'pipe' AS rule FROM documents WHERE doc_id % 2 = 1",
+    "scrubbed_messages": "SELECT doc_id, 'error with [key hidden] and [key hidden] at [key hidden]: ' || text AS message FROM documents",
+    # Documents of the driver's tables hold no blank line and no backtick: one paragraph behind the marked one, patterns read it up to their cap.
+    "code_masked_flags": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) + 2 AS n FROM (SELECT doc_id, substr(text, 1, 8000) AS text FROM documents))
+        SELECT 'doc-' || doc_id AS file, CAST(1 AS INTEGER) AS line, 'pipe' AS rule FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT 'doc-' || doc_id, CAST(n AS INTEGER), 'pipe' FROM l WHERE contains(t, '|')""",
 }
