@@ -1,26 +1,27 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-1. A document's shingles are hashed once to 64 bits.  Sets of up to ``whole`` values are retained whole, larger ones
-   as their ``k`` smallest values.  Documents with equal sets form a class, and its smallest doc_id stands for it.
-2. Inverted lists: values are ordered by how many classes retain them, then by hash.  Two sets that share at least
-   c of their retained values share one among the first r - c + 1 of each (r retained), in any order that both use,
-   so only those are listed, rarest first.  For whole sets c is exact; for sketches it lies six standard deviations
-   under what a linked pair shares.
-3. First each list is compared with its smallest id only, a star.  Its pairs pass an estimate from the sketch of the
-   union, then exact Jaccard on full sets from the whole texts.  Connected components of the confirmed links follow.
+1. A document's shingles are hashed once to 64 bits, and its sketch retains the ``k`` smallest values; a set of up to k
+   values is retained whole.  Documents with equal sets form a class, and its smallest doc_id stands for it.
+2. Inverted lists: retained values are ordered by how many classes retain them (in powers of two), then by hash.  Two
+   sets that share at least c of their retained values share one among the first r - c + 1 of each (r retained), in any
+   order that both use, so only those are listed, rarest first.  Where both sets are whole c is exact; else it lies six
+   standard deviations under what a linked pair shares.  Lists of the same members are one list.
+3. First each list is compared with its smallest id only (long lists with two more), a star.  Its pairs pass an
+   estimate from the sketch of the union, then exact Jaccard on full sets: the retained ones where both are whole, else
+   sets made again from the whole texts, once for each document.  Connected components of these links follow.
 4. Pairs of a list within one component need no further look.  The others are all compared: in short lists pair by
-   pair, in long ones in blocks, where the list's main component is compared with the rest and the rest with itself.
-   In lists of whole sets the comparison is exact; in those of sketches what passes the estimate is confirmed on full
-   sets.  Links join components, so none that could matter is left out.
+   pair, in long ones in blocks by size of the set, where what is not in the list's main component meets the members
+   whose size is near enough.  Links join components, so none that could matter is left out.
 
 Stars and components keep the work near the size of the lists for large groups of near copies; no list's pairs are
-written out, no list is cut.
+written out, no list is cut.  A long list whose members are much alike and still not linked (similarity between the
+listing's bound and t) has all its pairs of near size compared, in blocks of bounded memory: that work is quadratic in
+such a group, as exact answers are.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -28,12 +29,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, tasks
+from .common import Folders, tasks
 
-#: Fixed values of the word definition: maximal runs of anything but space and U+0009 to U+000D.
-SPLIT = re.compile("[ \t-\r]+")
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+#: Values of the coarse sketch, the first of the sketch.
+COARSE = 64
+#: Characters that are shingled at a time.
+STEP_BYTES = 4 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,35 +45,82 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start : start + size], eight bytes at a time; data ends with 16 bytes more."""
+    h = mixed(size.astype(np.uint64) * MIX[2])
+    eight = data[: len(data) // 8 * 8].view(np.uint64)
+    at, live = start, np.arange(len(start))
+    left = size
+    while len(live):
+        bits = ((at & 7) << 3).astype(np.uint64)
+        low, high = eight[at >> 3] >> bits, eight[(at >> 3) + 1]
+        chunk = np.where(bits > 0, low | (high << ((np.uint64(64) - bits) & np.uint64(63))), low)
+        spare = ((8 - np.minimum(left, 8)) << 3).astype(np.uint64)
+        h[live] = mixed(h[live] * MIX[2] + ((chunk << spare) >> spare))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
 class Shingler:
-    """Sorted distinct 64-bit hashes of the shingles of a text that is in lower case."""
-
-    def __init__(self, size: int, keep: int = 300_000):
-        self.size, self.keep = size, keep
-        self.words: dict[str, int] = {}
-
-    def word(self, w: str) -> int:
-        v = self.words.get(w)
-        if v is None:
-            if len(self.words) >= self.keep:
-                self.words.clear()
-            v = self.words[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return v
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = [w for w in SPLIT.split(text) if w]
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.word, words), np.uint64, len(words))
-        n = min(self.size, len(h))
-        total = np.full(len(h) - n + 1, np.uint64(n))
-        for i in range(n):
-            total = mixed(total * MIX[2] + h[i : len(h) - n + 1 + i])
+    """Sorted distinct 64-bit hashes of the shingles of texts, A-Z in lower case.
+
+    Words are maximal runs of other characters than space and U+0009 to U+000D; a text of fewer words than a shingle is
+    one shingle.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def rolled(self, h: np.ndarray, width: int) -> np.ndarray:
+        total = np.full(max(0, len(h) - width + 1), np.uint64(width))
+        for i in range(width):
+            total = mixed(total * MIX[2] + h[i : len(total) + i])
         total[total == NONE] = 0
-        return np.unique(total)
+        return total
+
+    def together(self, texts) -> Iterator[np.ndarray]:  # noqa: ANN001
+        """The sets of an array of texts (not null, beginning at no offset), all words at once."""
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        data = np.zeros((len(raw) + 23) // 8 * 8, np.uint8)
+        data[: len(raw)] = raw
+        upper = (raw >= 65) & (raw <= 90)
+        data[: len(raw)] += upper.astype(np.uint8) << 5
+        gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        # A text's first byte begins a word even if the text before does not end with a gap.
+        begins = ~gap
+        begins[1:] &= gap[:-1]
+        edges = ends[:-1][ends[:-1] < len(raw)]
+        begins[edges] = ~gap[edges]
+        start = np.flatnonzero(begins)
+        stops = np.append(np.flatnonzero(gap), len(raw))
+        owner = np.searchsorted(ends, start, "right") - 1
+        size = np.minimum(stops[np.searchsorted(stops, start)], ends[owner + 1]) - start
+        h = word_hashes(data, start, size)
+        n = np.bincount(owner, minlength=len(texts))
+        first = (np.cumsum(n) - n).tolist()
+        total = self.rolled(h, self.size)
+        for a, m in zip(first, n.tolist()):
+            part = total[a : a + m - self.size + 1] if m >= self.size else self.rolled(h[a : a + m], m) if m else total[:0]
+            part = np.sort(part)
+            fresh = np.ones(len(part), bool)
+            np.not_equal(part[1:], part[:-1], out=fresh[1:])
+            yield part[fresh]
+
+    def __call__(self, texts) -> Iterator[np.ndarray]:  # noqa: ANN001
+        """The sets of an array of texts, in order; a few megabytes of text are held at a time."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        if len(texts):
+            group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // STEP_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+            for a, b in zip(edges, edges[1:]):
+                yield from self.together(texts.take(pa.array(np.arange(a, b))).cast(pa.large_string()).fill_null(""))
 
-def sketch(values: np.ndarray, k: int) -> bytes:
+
+def sketch(values: np.ndarray, k: int = COARSE) -> bytes:
     """The upper halves of the k smallest values; NONE's upper half where there are fewer."""
     out = np.full(k, 0xFFFFFFFF, np.uint32)
     top = (values[:k] >> np.uint64(32)).astype(np.uint32)
@@ -95,138 +145,188 @@ def margin(t: float, k: int) -> float:
     return max(1.5 / k, t - 6 * math.sqrt(t * (1 - t) / k))
 
 
-def signatures(docs: DataFrame, shingle: int, k: int, whole: int) -> DataFrame:
-    """doc_id, n, digest, retained values (sorted, as signed), of every row."""
+def similar(a: np.ndarray, whole_a: bool, b: np.ndarray, whole_b: bool, t: int, k: int) -> tuple[bool, bool]:
+    """Whether two sets are linked, exactly if both are whole; else whether the sketch of their union lets them be."""
+    common = np.intersect1d(a, b, assume_unique=True)
+    if whole_a and whole_b:
+        return 100 * len(common) >= t * (len(a) + len(b) - len(common)), True
+    union = np.union1d(a, b)[:k]
+    return bool(np.searchsorted(common, union[-1], "right") >= len(union) * margin(t / 100, k)), False
+
+
+def list_array(sets: list[np.ndarray]):
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+
+
+def unsigned(value) -> np.ndarray:  # noqa: ANN001
+    return value.values.to_numpy().view(np.uint64)
+
+
+def signatures(docs: DataFrame, shingle: int, k: int) -> DataFrame:
+    """doc_id, n, digest, retained values (sorted, as signed), coarse sketch, of every row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shingles = Shingler(shingle)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                v = shingles(text.as_py())
-                kept = v if len(v) <= whole else v[:k]
-                rows.append((len(v), blake2b(v.tobytes(), digest_size=16).digest(), kept.view(np.int64)))
-            n, digest, kept = zip(*rows) if rows else ((), (), ())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-            flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), values], names=["doc_id", "n", "digest", "v"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text").cast("string")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, v array<long>")
-
-
-def prefixes(reps: DataFrame, heavy: DataFrame, t: int, k: int, whole: int) -> DataFrame:
-    """mode, value, id, n: what of each class is listed.  heavy (value, df) is sent to every task; its caller bounds it."""
-    rows = heavy.select("value", "df").toPandas()
-    value, df = rows["value"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int64)
+            n, digest, kept, coarse = [], [], [], []
+            for v in shingles(batch.column(1)):
+                n.append(len(v))
+                digest.append(blake2b(v.tobytes(), digest_size=16).digest())
+                kept.append(v[:k])
+                coarse.append(sketch(v))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), list_array(kept), pa.array(coarse, pa.binary())], names=["doc_id", "n", "digest", "v", "s"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n long, digest binary, v array<long>, s binary")
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, n, v: the full sets of the documents with the given ids, one row an id."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        shingles = Shingler(shingle)
+        for batch in batches:
+            sets = list(shingles(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), list_array(sets)], names=["id", "n", "v"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    return rows.mapInArrow(run, "id long, n long, v array<long>")
+
+
+def listed(n: int, r: int, t: int, k: int) -> int:
+    """How many of r retained values of a set of n are listed."""
+    # A linked partner of a set this small is whole too.
+    c = -(-t * n // 100) if 100 * n <= t * k else math.floor(k * margin(t / 100, k))
+    return max(1, r - c + 1)
+
+
+def prefixes(reps: DataFrame, heavy: DataFrame, t: int, k: int) -> DataFrame:
+    """value, id: what of each class is listed.  heavy (value, df) is sent to every task; its caller bounds it."""
+    rows = heavy.select("value", F.log2("df").cast("byte").alias("df")).toPandas()
+    value, df = rows["value"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int8)
     order = np.argsort(value)
     sent = reps.sparkSession.sparkContext.broadcast((value[order].tobytes(), df[order].tobytes()))
-    least = math.floor(k * margin(t / 100, k))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known, df = np.frombuffer(sent.value[0], np.uint64), np.frombuffer(sent.value[1], np.int64)
+        known, df = np.frombuffer(sent.value[0], np.uint64), np.frombuffer(sent.value[1], np.int8)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for i, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = v.values.to_numpy().view(np.uint64)
-                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                often = np.where(known[at] == own, df[at], 0) if len(known) else np.zeros(len(own), np.int64)
-                modes = [(0, len(own), -(-t * n // 100))] * (n <= whole) + [(1, k, least)] * (n * 100 >= t * whole)
-                for mode, r, c in modes:
-                    first = np.lexsort([own[:r], often[:r]])[: max(1, min(r, len(own)) - c + 1)]
-                    values = own[:r][first].view(np.int64)
-                    for column, x in zip(out, (np.full(len(values), mode), values, np.full(len(values), i), np.full(len(values), n))):
-                        column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["mode", "value", "id", "n"])
-
-    return reps.select("id", "n", "v").mapInArrow(run, "mode long, value long, id long, n long")
+            values, counts = [], []
+            for n, v in zip(batch.column(1).to_pylist(), batch.column(2)):
+                own = unsigned(v)
+                many = listed(n, len(own), t, k)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[at] == own, df[at], 0), kind="stable")]
+                values.append(own[:many])
+                counts.append(min(many, len(own)))
+            if values:
+                ids = np.repeat(batch.column(0).to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(ids)], names=["value", "id"])
+
+    return reps.select("id", "n", "v").mapInArrow(run, "value long, id long")
 
 
 def close_sizes(a: Column, b: Column, t: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * t
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, t: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose union's sketch estimates enough."""
-    limit = margin(t / 100, k)
+def likely(pairs: DataFrame, sketches: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose union's coarse sketch estimates enough."""
+    limit = margin(t / 100, COARSE)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, k) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COARSE) for i in (2, 3))
             yield batch.filter(pa.array(estimates(a, b) >= limit)).select(["a", "b"])
 
-    p = pairs.join(sketches.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    p = p.join(sketches.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return p.mapInArrow(run, "a long, b long")
+    p = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+    p = p.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    return p.where(close_sizes(F.col("na"), F.col("nb"), t)).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, n_pairs: int, texts: DataFrame, shingle: int, t: int, few: int = 2_000_000, run_size: int = 64) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= t * union.
+def compare(pairs: DataFrame, sets: DataFrame, t: int, k: int, made: Folders, few: int, run_size: int = 64) -> DataFrame:
+    """a, b, sure: the pairs (a, b) that are linked (sure), or that the sketch of the union lets be.
 
-    Texts of the partners travel to their a, in runs of about run_size partners, so a star of any size is spread.  Up to
-    ``few`` pairs (32 MB) are broadcast to the scan of the texts; more are joined with a shuffle.
+    Sets (id, n, v) of the partners travel to their a, in runs of about run_size partners, so a star of any size is
+    spread.  Up to ``few`` pairs (24 bytes each) are broadcast to the scan of the sets; more are joined with a shuffle.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingles = Shingler(shingle)
-        key, center = None, None
+        key, centers = None, []
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for a, salt, b, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                v = shingles(text)
-                if b is None:
-                    key, center = (a, salt), v
+            out: tuple[list, list, list] = ([], [], [])
+            for a, salt, b, n, v in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                v = unsigned(v)
+                if b is None:  # several only where a doc_id has several texts
+                    if (a, salt) != key:
+                        key, centers = (a, salt), []
+                    centers.append((v.copy(), len(v) == n))
                     continue
                 if (a, salt) != key:
                     raise ValueError("a star without its center")
-                common = len(np.intersect1d(center, v, assume_unique=True))
-                if 100 * common >= t * (len(center) + len(v) - common):
-                    out[0].append(a)
-                    out[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+                found = [sure for c, whole in centers for passes, sure in [similar(c, whole, v, len(v) == n, t, k)] if passes]
+                if found:
+                    for column, x in zip(out, (a, b, any(found))):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
 
-    small = F.broadcast if n_pairs <= few else (lambda df: df)
+    small = F.broadcast if pairs.count() <= few else (lambda df: df)
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_d"))
-    pairs = materialise(pairs.join(small(degree), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / run_size))).drop("_d"), "near-pairs")
-    centers = pairs.select("a", "salt").distinct()
-    partners = texts.join(small(pairs), F.col("id") == F.col("b")).select("a", "salt", "b", "text")
-    centers = texts.join(small(centers), F.col("id") == F.col("a")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rows = partners.unionByName(centers).repartition(tasks(texts.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
+    pairs = made.materialise(pairs.join(small(degree), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / run_size))).drop("_d"), "near-pairs")
+    partners = sets.join(small(pairs), F.col("id") == F.col("b")).select("a", "salt", "b", "n", "v")
+    centers = sets.join(small(pairs.select("a", "salt").distinct()), F.col("id") == F.col("a")).select("a", "salt", F.lit(None).cast("long").alias("b"), "n", "v")
+    rows = partners.unionByName(centers).repartition(tasks(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long, sure boolean")
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, t: int, k: int, made: Folders, few: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= t * union."""
+    found = made.materialise(compare(pairs, reps.select("id", "n", "v"), t, k, made, few), "near-compared")
+    links, left = found.where("sure").select("a", "b"), found.where("not sure").select("a", "b")
+    n_left = left.count()
+    if not n_left:
+        return links
+    ids = made.materialise(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-open")
+    full = made.materialise(whole_sets(docs, F.broadcast(ids) if n_left <= few else ids, shingle).dropDuplicates(["id", "n"]), "near-full")
+    return links.union(compare(left, full, t, k, made, few).where("sure").select("a", "b"))
+
+
+def components(links: DataFrame, made: Folders) -> DataFrame:
     """id, comp (the smallest id reachable) of all ids in links (a, b).  Labels move to neighbours, then to the label's label."""
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b")
-    both = materialise(both.distinct().toDF("id", "to"), name)
-    labels = materialise(both.groupBy("id").agg(F.least("id", F.min("to")).alias("comp")), name)
+    both = made.materialise(both.distinct().toDF("id", "to"), "near-edges")
+    labels = made.materialise(both.groupBy("id").agg(F.least("id", F.min("to")).alias("comp")), "near-labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("to"), F.col("comp").alias("c")), "to").groupBy("id").agg(F.min("c").alias("c"))
-        new = materialise(labels.join(near, "id").select("id", F.least("comp", "c").alias("comp"), F.col("comp").alias("old")), name)
-        up = new.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = new.join(up, "comp").select("id", F.col("up").alias("comp"), "old")
-        new = materialise(new, name)
-        if new.where("comp <> old").limit(1).count() == 0:
-            return new.select("id", "comp")
+        moved = made.materialise(labels.join(near, "id").select("id", F.least("comp", "c").alias("comp"), F.col("comp").alias("old")), "near-labels")
+        up = moved.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+        new = made.materialise(moved.join(up, "comp").select("id", F.col("up").alias("comp"), "old"), "near-labels")
+        made.drop(labels, moved)
         labels = new.select("id", "comp")
+        if new.where("comp <> old").limit(1).count() == 0:
+            made.drop(both)
+            return labels
 
 
-def short_pairs(lists: DataFrame, t: int, short: int) -> DataFrame:
-    """a, b of lists of up to ``short`` members, over different components."""
-    g = lists.where(F.col("m") <= short).groupBy("mode", "value").agg(F.collect_list(F.struct("id", "n", "comp")).alias("l"))
+def short_pairs(lists: DataFrame) -> DataFrame:
+    """a, b of short lists, over different components."""
+    g = lists.groupBy("value").agg(F.collect_list(F.struct("id", "comp")).alias("l"))
     g = g.where(F.exists("l", lambda x: x["comp"] != F.col("l")[0]["comp"]))
     p = g.select(F.explode("l").alias("x"), "l").select("x", F.explode("l").alias("y")).where("x.id < y.id and x.comp <> y.comp")
-    p = p.where(close_sizes(F.col("x.n"), F.col("y.n"), t))
     return p.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
@@ -249,14 +349,14 @@ def forest(rest: np.ndarray, others: np.ndarray, comp: dict[int, int], i: np.nda
     return out
 
 
-def common_counts(rest: list[np.ndarray], others: list[np.ndarray], step: int = 8192) -> np.ndarray:
+def common_counts(rest: list[np.ndarray], others: list[np.ndarray], step: int = 4096) -> np.ndarray:
     """Size of the intersection of each set of rest with each of others; the sets hold distinct values."""
     sizes = [len(x) for x in rest] + [len(x) for x in others]
     values, at = np.unique(np.concatenate([*rest, *others]), return_inverse=True)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    number = np.cumsum(np.bincount(at, minlength=len(values)) > 1) - 1
-    shared = np.bincount(at, minlength=len(values))[at] > 1
-    row, col = row[shared], number[at[shared]]
+    shared = np.bincount(at, minlength=len(values)) > 1
+    number = np.cumsum(shared) - 1
+    row, col = row[shared[at]], number[at[shared[at]]]
     out = np.zeros((len(rest), len(others)), np.float32)
     for a in range(0, int(col.max()) + 1 if len(col) else 0, step):
         use = (col >= a) & (col < a + step)
@@ -274,124 +374,149 @@ def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(twice.any(axis=1), u[np.arange(len(u)), at], NONE)
 
 
-def in_blocks(lists: DataFrame, payload: DataFrame, block: int) -> DataFrame:
-    """Rows of lists over several components, dealt to pairs (i, j) of a block of what is not in the list's main
-    component (rest) and a block of the list.  Only ids that such a list holds bring their payload (id, ...)."""
+def in_blocks(lists: DataFrame, reps: DataFrame, t: int, block: int, made: Folders) -> DataFrame:
+    """Members of lists over several components, dealt to blocks in which all are compared.
+
+    Sizes of sets fall into bins by powers of 100 / t, so that linked sets lie in the same bin or in neighbouring ones.
+    A block (value, g, i, h, j) holds a part i of bin g of what is not in the list's main component (rest), and a part
+    j of bin h of the whole list.  Only ids that such a list holds bring their sets.
+    """
     per = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    rows = lists.join(materialise(main.where("all > most"), "near-main"), "value").join(payload, "id")
-    blocks, parts = F.ceil(F.col("all") / block).cast("int"), F.ceil((F.col("all") - F.col("most")) / block).cast("int")
-    keep = ["value", "id", "n", "comp", *[c for c in payload.columns if c != "id"]]
-    rows = materialise(rows.select(*keep, (F.col("comp") != F.col("main")).alias("other"), blocks.alias("blocks"), parts.alias("parts")), "near-long")
+    main = per.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
+    # A document stands in a bounded number of lists, no more than its listed values.
+    own = lists.groupBy("id").agg(F.collect_set("value").alias("own"))
+    held = made.materialise(lists.join(main.select("value", "main"), "value").withColumn("other", F.col("comp") != F.col("main")).drop("main", "m"), "near-held")
+    sets = made.materialise(reps.join(held.select("id").distinct(), "id", "left_semi").select("id", "n", "v", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(t, 99)) + 1e-9).cast("int").alias("bin")), "near-long-sets")
+    rows = held.join(sets.select("id", "n", "bin"), "id")
+    cells = made.materialise(rows.groupBy("value", "bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.ceil(F.count_if("other") / block).cast("int").alias("parts")), "near-cells")
+    left = cells.where("parts > 0").select("value", F.col("bin").alias("g"), "parts", F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1)).alias("h"))
+    left = left.join(cells.select("value", F.col("bin").alias("h"), "blocks"), ["value", "h"])
+    rows = rows.join(sets.select("id", "n", "v"), ["id", "n"]).join(own, "id")
+    keep = ["value", "id", "n", "comp", "v", "own"]
     h, g = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    members = rows.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), h.alias("j"), F.lit(False).alias("rest"), *keep)
-    others = rows.where("other").select(g.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("rest"), *keep)
+    members = rows.join(left.withColumnRenamed("h", "bin"), ["value", "bin"])
+    members = members.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("bin").alias("h"), h.alias("j"), F.lit(False).alias("rest"), *keep)
+    others = rows.where("other").join(left.withColumnRenamed("g", "bin"), ["value", "bin"])
+    others = others.select(F.col("bin").alias("g"), g.alias("i"), "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("rest"), *keep)
     return members.unionByName(others)
 
 
-def long_links(lists: DataFrame, reps: DataFrame, t: int, block: int) -> DataFrame:
-    """a, b: confirmed links over different components in long lists of whole sets, no more than join them.
+def long_links(lists: DataFrame, reps: DataFrame, t: int, k: int, block: int, made: Folders) -> DataFrame:
+    """a, b, sure over different components in long lists.
 
-    What is retained of these sets is the sets, so exact Jaccard is taken in the block and nothing else is written.
+    Where both sets are retained whole exact Jaccard is taken in the block, and no more links leave it than join
+    components (sure); of the others those pairs that pass the estimate, each in its first common list only.
     """
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates(["rest", "id"])
-        rest, every = pdf[pdf["rest"]], pdf[~pdf["rest"]]
-        common = common_counts(list(rest["v"]), list(every["v"]))
-        union = rest["n"].to_numpy()[:, None] + every["n"].to_numpy()[None, :] - common
-        linked = (100 * common >= t * union) & (rest["comp"].to_numpy()[:, None] != every["comp"].to_numpy()[None, :])
-        out = forest(rest["id"].to_numpy(), every["id"].to_numpy(), dict(zip(pdf["id"], pdf["comp"])), *np.nonzero(linked))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    return in_blocks(lists, reps.select("id", "v"), block).groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
-
-
-def long_pairs(lists: DataFrame, sketches: DataFrame, t: int, k: int, block: int) -> DataFrame:
-    """a, b over different components in long lists of sketches that pass the estimate, each in its first common list only."""
     limit = margin(t / 100, k)
 
     def run(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
         value = np.array([pdf["value"].iloc[0]]).view(np.uint64)[0]
-        pdf = pdf.drop_duplicates(["rest", "id"])
+        pdf = pdf[~pdf.assign(v=[v.tobytes() for v in pdf["v"]]).duplicated(["rest", "id", "v"])]
         rest, every = pdf[pdf["rest"]], pdf[~pdf["rest"]]
-        sr, se = (np.frombuffer(b"".join(x["s"]), np.uint32).reshape(-1, k) for x in (rest, every))
-        real = [[np.unique(r[r != 0xFFFFFFFF]) for r in x] for x in (sr, se)]
-        common = common_counts(*real)
-        nr, ne = (x["n"].to_numpy() for x in (rest, every))
+        if not len(rest) or not len(every):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sure": np.zeros(0, bool)})
+        vr, ve = ([np.asarray(v, np.int64).view(np.uint64) for v in x["v"]] for x in (rest, every))
+        nr, ne = (x["n"].to_numpy(np.int64) for x in (rest, every))
+        common = common_counts(vr, ve)
+        apart = rest["comp"].to_numpy()[:, None] != every["comp"].to_numpy()[None, :]
+        whole = (nr <= k)[:, None] & (ne <= k)[None, :]
+        linked = whole & apart & (100 * common >= t * (nr[:, None] + ne[None, :] - common))
+        sure = forest(rest["id"].to_numpy(), every["id"].to_numpy(), dict(zip(pdf["id"], pdf["comp"])), *np.nonzero(linked))
         least = np.minimum(nr[:, None], ne[None, :])
-        ok = common >= limit * np.minimum(k, least) - 1e-6
-        ok &= (least * 100 >= np.maximum(nr[:, None], ne[None, :]) * t) & (rest["comp"].to_numpy()[:, None] != every["comp"].to_numpy()[None, :])
+        maybe = ~whole & apart & (common >= limit * np.minimum(k, least) - 1e-6) & (least * 100 >= np.maximum(nr[:, None], ne[None, :]) * t)
+        i, j = np.nonzero(maybe)
         width = int(max(map(len, pdf["own"])))
         own = np.full((len(pdf), width), NONE)
         for r, x in enumerate(pdf["own"]):
             own[r, : len(x)] = np.asarray(x, np.int64).view(np.uint64)
         own_r, own_e = own[pdf["rest"].to_numpy()], own[~pdf["rest"].to_numpy()]
-        i, j = np.nonzero(ok)
-        a, b = [], []
+        out = []
         for x in range(0, len(i), 20_000):
             ii, jj = i[x : x + 20_000], j[x : x + 20_000]
             here = first_common(own_r[ii], own_e[jj]) == value
-            ii, jj = ii[here], jj[here]
-            pass_ = estimates(sr[ii], se[jj]) >= limit
-            a.append(rest["id"].to_numpy()[ii[pass_]])
-            b.append(every["id"].to_numpy()[jj[pass_]])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    # A document stands in a bounded number of lists, fewer than its retained values.
-    own = lists.groupBy("id").agg(F.collect_set("value").alias("own"))
-    return in_blocks(lists, sketches.join(own, "id"), block).groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
+            out += [(r, e) for r, e in zip(ii[here].tolist(), jj[here].tolist()) if similar(vr[r], nr[r] <= k, ve[e], ne[e] <= k, t, k)[0]]
+        a, b = (np.array([x[side] for x in out], np.int64) for side in (0, 1))
+        a, b = rest["id"].to_numpy()[a], every["id"].to_numpy()[b]
+        low, high = np.array([x[0] for x in sure], np.int64), np.array([x[1] for x in sure], np.int64)
+        return pd.DataFrame({"a": np.concatenate([low, np.minimum(a, b)]), "b": np.concatenate([high, np.maximum(a, b)]), "sure": np.arange(len(low) + len(a)) < len(low)})
 
+    return in_blocks(lists, reps, t, block, made).groupBy("value", "g", "i", "h", "j").applyInPandas(run, "a long, b long, sure boolean").distinct()
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 64, whole: int = 256, short: int = 64, block: int = 1024, max_heavy: int = 2_000_000) -> DataFrame:
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 256, short: int = 64, block: int = 2048, max_heavy: int = 500_000, few: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are runs of other characters than space and U+0009 to U+000D, A-Z lower-cased; a set is the distinct shingles
     of that many words, the whole sequence if it is shorter.  Null and empty texts and texts of white space have no
     shingles and link with nothing.  Rows with a null doc_id link with nothing, have a null component_id and are kept.
-    Rows of the same doc_id are one document's: what links one links all.  An empty table gives an empty table.
+    Rows of the same doc_id are one document's: what links one links all.  Very long texts count whole; a set that is
+    too large to be retained is made again when it must be compared.  Ties do not arise: the smallest doc_id is the
+    component's.  An empty table gives an empty table.  Only doc_id and text are read, so other columns may have any name.
+
+    k values are retained of a set.  Physical bounds, without effect on the result: lists over ``short`` members are
+    compared in blocks of up to ``block``; at most ``max_heavy`` of the most frequent values (9 bytes each) decide the
+    order of listing; up to ``few`` pairs (24 bytes each) are broadcast, more are joined with a shuffle.
     """
-    spark, t = docs.sparkSession, similarity
-    sig = materialise(signatures(docs, shingle, k, whole), "near-sets")
+    t, made = similarity, Folders(docs.sparkSession)
+    keep = made.materialise
+    sig = keep(signatures(docs, shingle, k), "near-sets")
     real = sig.where("doc_id is not null and n > 0")
-    classes = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("digest", "rep"), "near-classes")
-    own = materialise(real.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "near-own")
-    # One row of each class: the first of its representative's rows.
-    multi = classes.select(F.col("digest").alias("_g"), "rep")
-    reps = real.join(multi, F.col("digest") == F.col("_g"), "left").where("rep is null or rep = doc_id")
-    to_sketch = F.pandas_udf(lambda s: s.map(lambda v: sketch(np.asarray(v, np.int64).view(np.uint64), k)), "binary")
-    reps = materialise(reps.select(F.col("doc_id").alias("id"), "n", "v", to_sketch("v").alias("s")).dropDuplicates(["id", "n"]), "near-reps")
-    counts = materialise(reps.select(F.explode("v").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > short), "near-often")
+    classes = keep(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("digest", "rep"), "near-classes")
+    own = keep(real.select("doc_id", "n", "digest").join(classes, "digest", "left"), "near-own")
+    made.drop(classes)
+    # Rows that another one of their class stands for, and a class's representative where its row is repeated.
+    per = keep(own.where("rep is not null").groupBy("doc_id", "digest", "rep").agg(F.count(F.lit(1)).alias("c")).where("doc_id <> rep or c > 1"), "near-copies")
+    repeated = per.where("doc_id = rep").select("doc_id", "digest")
+    n_copies = per.count()
+    small = F.broadcast if n_copies <= few else (lambda df: df)
+    reps = real.join(small(per.select("doc_id", "digest")), ["doc_id", "digest"], "left_anti")
+    if not repeated.isEmpty():
+        reps = reps.unionByName(real.join(small(repeated), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]))
+    reps = reps.select(F.col("doc_id").alias("id"), "n", "v", "s")
+    if n_copies > few:
+        reps = keep(reps, "near-reps")
+    # How many classes would list a value by hash alone.
+    first = F.when(F.col("n") * 100 <= t * k, F.col("n") - F.ceil(F.col("n") * t / 100) + 1).otherwise(F.least("n", F.lit(k)) - math.floor(k * margin(t / 100, k)) + 1)
+    counts = keep(reps.select(F.explode(F.slice("v", F.lit(1), first.cast("int"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > short), "near-often")
     bound = short
-    while counts.where(F.col("df") > bound).count() > max_heavy:  # only the order of listing depends on it
+    while counts.where(F.col("df") > bound).count() > max_heavy:
         bound *= 2
-    index = materialise(prefixes(reps, counts.where(F.col("df") > bound), t, k, whole), "near-index")
-    # The smallest id of a list is its hub; long lists have two more, by hash, as one may be an odd copy.
-    hashed = F.struct(F.xxhash64("id").alias("h"), "id", "n")
-    hubs = index.groupBy("mode", "value").agg(F.min(F.struct("id", "n")).alias("hub"), F.min(hashed).alias("low"), F.max(hashed).alias("high"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pick = F.struct(F.col("low.id").alias("id"), F.col("low.n").alias("n")), F.struct(F.col("high.id").alias("id"), F.col("high.n").alias("n"))
-    hubs = hubs.select("mode", "value", "m", F.when(F.col("m") > short, F.array("hub", *pick)).otherwise(F.array("hub")).alias("hubs"))
-    lists = materialise(index.join(materialise(hubs, "near-hubs"), ["mode", "value"]), "near-lists")
-    sketches = reps.select("id", "s")
-    stars = lists.select("id", "n", F.explode("hubs").alias("hub")).where("id <> hub.id").where(close_sizes(F.col("n"), F.col("hub.n"), t))
-    stars = stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    stars = materialise(likely(stars, sketches, t, k), "near-stars")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), ascii_lower(F.col("text").cast("string")).alias("text"))
-    links = materialise(confirm(stars, stars.count(), texts, shingle, t), "near-links")
-    first = components(links)
-    labelled = lists.select("mode", "value", "id", "n", "m").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    labelled = materialise(labelled, "near-labelled")
-    more = likely(short_pairs(labelled, t, short).distinct().join(stars, ["a", "b"], "left_anti"), sketches, t, k)
-    long = labelled.where(F.col("m") > short)
-    more = more.union(long_pairs(long.where("mode = 1"), sketches, t, k, block)).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(more, "near-more")
-    found = materialise(long_links(long.where("mode = 0"), reps, t, block).union(confirm(more, more.count(), texts, shingle, t)), "near-links")
-    last = first if found.isEmpty() else components(links.union(found))
+    index = keep(prefixes(reps, counts.where(F.col("df") > bound), t, k), "near-index")
+    made.drop(counts)
+    # The smallest id of a list is its hub; long lists have two more, as one may be an odd copy.
+    odd = F.lit(0x2F0B4C47A95D6E13)
+    hubs = index.groupBy("value").agg(
+        F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.col("id").bitwiseXOR(odd)).alias("other"),
+        F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2"),
+    ).where("low < high")
+    # Of lists with the same members one is enough.
+    hubs = hubs.groupBy("m", "f1", "f2", "low", "high", "other").agg(F.min("value").alias("value"))
+    hubs = keep(hubs.select("value", "m", F.when(F.col("m") > short, F.array("low", "high", F.col("other").bitwiseXOR(odd))).otherwise(F.array("low")).alias("hubs")), "near-hubs")
+    lists = keep(index.join(hubs, "value"), "near-lists")
+    made.drop(index, hubs)
+    stars = lists.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+    stars = stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    stars = keep(likely(stars, reps, t), "near-stars")
+    links = keep(confirm(stars, reps, docs, shingle, t, k, made, few), "near-links")
+    # What links one row of a doc_id links all.
+    several = own.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    same = own.where("rep <> doc_id").join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = keep(links.union(same), "near-joined")
+    first = components(links, made)
+    labelled = lists.select("value", "id", "m").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    labelled = keep(labelled, "near-labelled")
+    made.drop(lists)
+    blocks = keep(long_links(labelled.where(F.col("m") > short), reps, t, k, block, made), "near-blocks")
+    more = likely(short_pairs(labelled.where(F.col("m") <= short)).distinct().join(stars, ["a", "b"], "left_anti"), reps, t)
+    more = more.union(blocks.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti")).distinct()
+    more = keep(more, "near-more")
+    found = keep(blocks.where("sure").select("a", "b").union(confirm(more, reps, docs, shingle, t, k, made, few)), "near-found")
+    last = first if found.isEmpty() else components(links.union(found), made)
+    own = own.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     out = own.join(last.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     rest = sig.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = keep(out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-out")
+    made.drop_all(out)
+    return out

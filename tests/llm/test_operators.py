@@ -124,9 +124,10 @@ def components(docs, n, t=80):
     return {i: (len(sets[i]), find(i)) for i in sets if i is not None}
 
 
-@pytest.mark.parametrize("n,whole,short,block", [(4, 256, 64, 1024), (5, 40, 3, 4), (4, 256, 3, 4)])
-def test_near_dedup(spark, rows, n, whole, short, block):
-    got = near_dedup.near_dedup(frame(spark, rows), shingle=n, whole=whole, short=short, block=block, k=64).collect()
+@pytest.mark.parametrize("n,k,short,block,few", [(4, 256, 64, 2048, 500_000), (5, 40, 3, 4, 0), (4, 256, 3, 4, 0)])
+def test_near_dedup(spark, rows, n, k, short, block, few):
+    """few=0 takes the shuffled joins throughout."""
+    got = near_dedup.near_dedup(frame(spark, rows), shingle=n, short=short, block=block, k=k, few=few, max_heavy=20).collect()
     want = components(rows, n)
     assert len(got) == len(rows)
     for r in got:
@@ -149,10 +150,39 @@ def test_near_dedup_long_lists_of_sketches(spark):
             w[rnd.randrange(400)] = word()
         docs.append((i, " ".join(w), "s"))
     docs += [(100 + i, " ".join(passage + [word() for _ in range(rnd.randint(5, 400))]), "s") for i in range(60)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(frame(spark, docs), shingle=4, whole=100, short=8, block=16).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(frame(spark, docs), shingle=4, k=100, short=8, block=16).collect()}
     assert got == components(docs, 4)
 
 
+def test_near_dedup_one_value_in_very_many_classes(spark):
+    """Five thousand sets that share seven of their eight shingles (7 of 9 in common, so not linked), and one that joins one of them."""
+    base = " ".join(f"b{i}" for i in range(10))
+    docs = [(i, f"{base} w{i}", "s") for i in range(5_000)] + [(6_000, f"{base} w1 x", "s"), (6_001, f"{base} W1  x", None)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(frame(spark, docs), shingle=4).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {6_000: 1, 6_001: 1} and len(got) == 5_002
+
+
+def test_near_dedup_of_a_doc_id_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = [(7, a, "s"), (7, b, "s"), (3, a, "s"), (9, f"{b} more", "s"), (7, a, "s"), (8, "other words that stand alone", "s"), (8, None, "s")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(frame(spark, docs), shingle=4).collect())
+    assert got == [(3, 3, True), (7, 3, False), (7, 3, False), (7, 3, False), (8, 8, True), (8, 8, True), (9, 3, False)]
+
+
+def test_shingles_of_odd_texts():
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    bits = [" ", "\t", "\n", "\x0b", "A", "b", "abcdefgh", "ABCDEFGHI", "é", "x" * 17, "", "z ", "\x85", "\u00a0", "\x00"]
+    texts = [None, "", " ", "a", "a\x00"] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(2_000)]
+    for size in (1, 4, 5):
+        known = {}
+        for t, s in zip(texts, near_dedup.Shingler(size)(pa.array(texts)), strict=True):
+            w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+            want = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+            assert len(want) == len(s) and known.setdefault(want, s.tobytes()) == s.tobytes() and known.setdefault(s.tobytes(), want) == want
+
+
 def test_estimates_and_forest():
     rnd = np.random.default_rng(1)
     a = np.unique(rnd.integers(0, 2**63, 500).astype(np.uint64))
