@@ -36,7 +36,7 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0
 #: Values of the coarse sketch, the first of the sketch.
 COARSE = 64
 #: Characters that are shingled at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -108,8 +108,8 @@ class Shingler:
             np.not_equal(part[1:], part[:-1], out=fresh[1:])
             yield part[fresh]
 
-    def __call__(self, texts) -> Iterator[np.ndarray]:  # noqa: ANN001
-        """The sets of an array of texts, in order; a few megabytes of text are held at a time."""
+    def parts(self, ids, texts) -> Iterator[tuple]:  # noqa: ANN001
+        """Runs of ids with the sets of their texts; a few megabytes of text are held at a time."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -117,7 +117,8 @@ class Shingler:
             group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // STEP_BYTES
             edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
             for a, b in zip(edges, edges[1:]):
-                yield from self.together(texts.take(pa.array(np.arange(a, b))).cast(pa.large_string()).fill_null(""))
+                at = pa.array(np.arange(a, b))  # taken, not sliced: buffers begin at no offset
+                yield ids.take(at), list(self.together(texts.take(at).cast(pa.large_string()).fill_null("")))
 
 
 def sketch(values: np.ndarray, k: int = COARSE) -> bytes:
@@ -174,13 +175,10 @@ def signatures(docs: DataFrame, shingle: int, k: int) -> DataFrame:
 
         shingles = Shingler(shingle)
         for batch in batches:
-            n, digest, kept, coarse = [], [], [], []
-            for v in shingles(batch.column(1)):
-                n.append(len(v))
-                digest.append(blake2b(v.tobytes(), digest_size=16).digest())
-                kept.append(v[:k])
-                coarse.append(sketch(v))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), list_array(kept), pa.array(coarse, pa.binary())], names=["doc_id", "n", "digest", "v", "s"])
+            for ids, sets in shingles.parts(batch.column(0), batch.column(1)):
+                digest = [blake2b(v.tobytes(), digest_size=16).digest() for v in sets]
+                columns = [ids, pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), list_array([v[:k] for v in sets]), pa.array(map(sketch, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "v", "s"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, digest binary, v array<long>, s binary")
@@ -194,8 +192,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
         shingles = Shingler(shingle)
         for batch in batches:
-            sets = list(shingles(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), list_array(sets)], names=["id", "n", "v"])
+            for ids, sets in shingles.parts(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), list_array(sets)], names=["id", "n", "v"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(run, "id long, n long, v array<long>")
@@ -445,7 +443,7 @@ def long_links(lists: DataFrame, reps: DataFrame, t: int, k: int, block: int, ma
     return in_blocks(lists, reps, t, block, made).groupBy("value", "g", "i", "h", "j").applyInPandas(run, "a long, b long, sure boolean").distinct()
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 256, short: int = 64, block: int = 2048, max_heavy: int = 500_000, few: int = 500_000) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 256, short: int = 64, block: int = 1024, max_heavy: int = 500_000, few: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are runs of other characters than space and U+0009 to U+000D, A-Z lower-cased; a set is the distinct shingles
