@@ -1,11 +1,12 @@
 """Nearest neighbours by cosine: a vantage-point tree per shard, pruned by the triangle inequality.
 
 Vectors are scaled to length one, where Euclidean distance orders as cosine does and is a metric.  Shards are dealt by
-hash of the id and hold about ``shard_rows`` rows each; every shard's tree is built once and written to the shared
-folder.  The query set meets the shards in blocks: each pair of a query block and a shard is a row of its own.  A
-block walks a tree together: at each node the queries take their near side first, then those whose ball reaches
-across the median sphere take the other.  The ball's radius is divided by ``factor``: 1 prunes only what cannot hold
-a nearer row and so is exact, larger factors prune more.
+hash of the row and hold about ``shard_rows`` rows each; every shard's tree is built once and written to the shared
+folder.  Trees stay where they are read and queries travel: they go out in waves of at most ``wave_bytes``, each
+broadcast to all tasks.  A task keeps the k nearest of the wave over all trees it reads, so what one tree found prunes
+the next, and k rows a query leave it.  A block of queries walks a tree together: at each node the queries take their
+near side first, then those whose ball reaches across the median sphere take the other.  The ball's radius is divided
+by ``factor``: 1 prunes only what cannot hold a nearer row and so is exact, larger factors prune more.
 
 Equal vectors of a shard are stored once with their k + 1 smallest ids, as no other of them can be among the k
 nearest when ties go to the smaller id (an id counts once there, as its repeated rows meet in one shard); so a vector that many rows share costs no more than one.
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, tasks
+from .common import Folders
 
 LEAF = 64
 SLACK = 1e-9
@@ -134,62 +135,77 @@ class Search:
 
 
 def usable(vector: Column) -> Column:
-    """Not null, not zero, all components finite."""
+    """Not null, all components finite, and a squared length in double precision that is neither zero nor infinite."""
     big = F.lit(float("inf"))
     fine = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < big), F.lit(False)))
-    return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+    square = F.aggregate(vector, F.lit(0.0), lambda n, x: n + x * x)
+    return F.coalesce(fine & (square > 0) & (square < big), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, shard_rows: int = 1024, block_rows: int = 512, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, shard_rows: int = 4096, block_rows: int = 512, wave_bytes: int = 32 << 20, key: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row with is_query, among all rows but itself.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part; vectors of different lengths are
-    not compared; rows with a null id take no part.  Of rows with the same id and vector one counts; a query is never
-    its own answer, nor is another row with its id.  With fewer than k others, all are returned.  An empty table gives an empty result.
+    Vectors that are null, zero, hold null or non-finite components, or whose squared length overflows or vanishes in
+    double precision take no part; vectors of different lengths are not compared; rows with a null id take no part.  Of
+    rows with the same id and vector one counts; a query is never its own answer, nor is another row with its id.  Ties
+    go to the smaller id.  With fewer than k others, all are returned.  An empty table gives an empty result.  Columns
+    but the two named are not read, so they may have any name.
     """
-    spark = vectors.sparkSession
+    spark, made = vectors.sparkSession, Folders(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q"))
     rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v"))).withColumn("_dim", F.size("_v"))
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("_q")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
+    n, n_queries, query_bytes = rows.agg(F.count(F.lit(1)), F.count_if("_q"), F.coalesce(F.sum(F.when(F.col("_q"), 8 * F.col("_dim") + 8)), F.lit(0))).first()
+    shards, waves = max(1, -(-n // shard_rows)), max(1, -(-query_bytes // wave_bytes))
 
     def index(pdf_key, pdf):
         import pandas as pd
 
         tree = build(pdf["_id"].to_numpy(np.int64), np.stack(pdf["_v"].to_numpy()), k)
-        return pd.DataFrame({"_dim": [pdf_key[0]], "_shard": [pdf_key[1]], "_tree": [pickle.dumps(tree)]})
-
-    def gather(pdf_key, pdf):
-        import pandas as pd
-
-        pdf = pdf[~pdf.assign(_v=pdf["_v"].map(tuple)).duplicated(["_id", "_v"])]
-        queries = (pdf["_id"].to_numpy(np.int64), np.stack(pdf["_v"].to_numpy()))
-        return pd.DataFrame({"_dim": [pdf_key[0]], "_block": [pdf_key[1]], "_queries": [pickle.dumps(queries)]})
-
-    def search(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            for tree, queries in zip(pdf["_tree"], pdf["_queries"]):
-                s = Search(*pickle.loads(queries), k, factor)
-                s.walk(pickle.loads(tree))
+        return pd.DataFrame({"_dim": [pdf_key[0]], "_tree": [pickle.dumps(tree)]})
+
+    # Repeats are combined before the exchange, so a row repeated very often is one row of its shard.
+    dealt = rows.select("_dim", "_id", "_v").distinct().withColumn("_shard", F.pmod(F.xxhash64("_id", "_v"), F.lit(shards)))
+    trees = made.materialise(dealt.groupBy("_dim", "_shard").applyInPandas(index, "_dim int, _tree binary"), "vp-trees")
+    asked = made.materialise(rows.where("_q").select("_dim", "_id", "_v").distinct().withColumn("_wave", F.pmod(F.xxhash64("_id", "_v", F.lit(1)), F.lit(waves))), "vp-queries")
+
+    def wave(number: int) -> DataFrame:
+        queries = asked.where(F.col("_wave") == number).toPandas()
+        sent = spark.sparkContext.broadcast({int(d): (p["_id"].to_numpy(np.int64), np.stack(p["_v"].to_numpy())) for d, p in queries.groupby("_dim")})
+
+        def search(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            state: dict[int, list[Search]] = {}
+            for pdf in batches:
+                for dim, raw in zip(pdf["_dim"], pdf["_tree"]):
+                    if dim not in sent.value:
+                        continue
+                    ids, matrix = sent.value[dim]
+                    if dim not in state:
+                        state[dim] = [Search(ids[i : i + block_rows], matrix[i : i + block_rows], k, factor) for i in range(0, len(ids), block_rows)]
+                    tree = pickle.loads(raw)
+                    for s in state[dim]:
+                        s.walk(tree)
+            for s in (s for block in state.values() for s in block):
                 hit = s.score > -np.inf
-                at = np.nonzero(hit)[0]
-                yield pd.DataFrame({"query_id": s.qid[at], "vec_id": s.found[hit], "score": s.score[hit]})
-
-    dealt = rows.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards)))
-    trees = materialise(dealt.groupBy("_dim", "_shard").applyInPandas(index, "_dim int, _shard long, _tree binary"), "vp-trees")
-    asked = rows.where("_q").withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(blocks)))
-    asked = materialise(asked.groupBy("_dim", "_block").applyInPandas(gather, "_dim int, _block long, _queries binary"), "vp-queries")
-    # The stated query set against all rows, in blocks.
-    pairs = trees.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, ["_dim", "_block"])
-    pairs = pairs.repartition(min(shards * blocks, tasks(spark)), "_dim", "_shard", "_block")
-    found = pairs.select("_tree", "_queries").mapInPandas(search, "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    # A query has k rows from each shard at most.
-    top = found.withColumn("rank", best).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "vec_id", "score")
-
+                yield pd.DataFrame({"query_id": s.qid[np.nonzero(hit)[0]], "vec_id": s.found[hit], "score": s.score[hit]})
+
+        found = trees.select("_dim", "_tree").mapInPandas(search, "query_id long, vec_id long, score double")
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return made.materialise(found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "vp-found")
+
+    # The stated query set against all rows, in blocks.  An id with several vectors may be in several waves.
+    parts = [wave(i) for i in range(waves)]
+    out = parts[0]
+    if waves > 1:
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        out = out.withColumn("rank", best).where(F.col("rank") <= k)
+    made.drop(trees, asked)
+    return out
 
 
 SQL = """

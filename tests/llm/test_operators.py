@@ -307,13 +307,13 @@ def test_nearest(spark):
     v = rnd.normal(size=(400, 8)).astype(np.float32).tolist()
     v[100:160] = [v[0]] * 60
     v[200] = [2 * x for x in v[3]]
-    data = [(i, x, 0, "x") for i, x in enumerate(v)] + [(900, None, 0, "x"), (901, [0.0] * 8, 0, "x"), (902, [float("nan")] + [1.0] * 7, 0, "x"), (903, [None] + [1.0] * 7, 0, "x"), (904, [float("inf")] + [1.0] * 7, 0, "x"), (None, v[1], 0, "x"), (905, [1.0, 2.0], 0, "x")]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, rank string")
+    data = [(i, x, 0, "x") for i, x in enumerate(v)] + [(950, [1e300, 1e-300] * 4, 0, "x"), (950, [1e-300] * 8, 0, "x"), (900, None, 0, "x"), (901, [0.0] * 8, 0, "x"), (902, [float("nan")] + [1.0] * 7, 0, "x"), (903, [None] + [1.0] * 7, 0, "x"), (904, [float("inf")] + [1.0] * 7, 0, "x"), (None, v[1], 0, "x"), (905, [1.0, 2.0], 0, "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, rank string")
     a = np.array(v, np.float32).astype(np.float64)
     n = np.sqrt((a * a).sum(1))
-    for size in (50, 4096):
+    for size, wave in ((50, 32 << 20), (4096, 32 << 20), (100, 200)):
         got = {}
-        for r in vptree.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=size, block_rows=3).collect():
+        for r in vptree.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=size, block_rows=3, wave_bytes=wave).collect():
             got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
         assert set(got) == set(range(0, 400, 50))
         for q, found in got.items():
