@@ -422,7 +422,14 @@ def test_token_counts(spark, rows):
         n = len(tok.encode(t, add_special_tokens=False).ids)
         for size in (1 << 16, rnd.randint(1, 9)):
             counter.chunk = size
-            assert counter(t) == n, t
+            assert counter.counts([t]).tolist() == [n], (t, size)
+    counter.chunk, texts = 1 << 16, ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(2_000)]
+    want = [len(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)]
+    assert counter.counts(texts).tolist() == want
+    counter.machine.keep = 50  # states are forgotten between runs
+    assert np.concatenate([counter.counts(texts[i : i + 20]) for i in range(0, 2_000, 20)]).tolist() == want
+    words = ["".join(chr(rnd.choice((rnd.randint(33, 126), rnd.randint(97, 122), rnd.randint(0x80, 0x2FF)))) for _ in range(rnd.randint(1, 60))) for _ in range(3_000)] + ["ab" * 70_000]
+    assert counter.counts(words).tolist() == [len(x.ids) for x in tok.encode_batch(words, add_special_tokens=False)]
     got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(frame(spark, rows), path).collect())
     want = Counter()
     for i, t, _ in rows:
