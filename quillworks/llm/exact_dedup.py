@@ -26,11 +26,14 @@ def exact_dedup(docs: DataFrame, keep: str = "max", carry: Sequence[str] = (), h
     """doc_id, keep_id, group_size, kept, text_sha256 and the columns to carry of every row.
 
     Null texts count as empty and are copies of each other.  keep is "max" or "min": which doc_id stays.  A null
-    doc_id stays only in a group that has no other.  Of repeated rows with the same doc_id and text one is kept.
-    An empty table gives an empty table; columns that are not carried are not read.
+    doc_id stays only in a group that has no other.  Of repeated rows with the same doc_id and text one is kept.  Very
+    long texts are compared whole.  An empty table gives an empty table; columns that are not carried are not read, so
+    they may have any name, and a carried one named as a column of the result comes back as carried_<name>.
     """
-    more = [c for c in carry if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    own = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    names = [c for c in carry if c != "doc_id"]
+    more = {c: f"_c{i}" for i, c in enumerate(names) if c != "text"}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(x) for c, x in more.items()])
     rows = rows.withColumn("_t", ascii_lower(F.col("text")))
     rows = rows.withColumn("_sha", F.sha2(F.col("_t"), 256))
     n = docs.count()
@@ -39,35 +42,38 @@ def exact_dedup(docs: DataFrame, keep: str = "max", carry: Sequence[str] = (), h
     rows = rows.join(F.broadcast(hot), "_sha", "left")
     runs = F.ceil(F.col("_n") / limit).cast("long")
     rows = rows.select(
-        "doc_id", "text", *more, "_sha", F.col("_n").isNotNull().alias("_hot"),
+        "doc_id", "text", *more.values(), "_sha", F.col("_n").isNotNull().alias("_hot"),
         F.substring("_t", 1, PREFIX).alias("_p"), F.xxhash64("_t").alias("_h"),
-        F.coalesce(F.pmod(F.xxhash64("doc_id"), runs), F.lit(0)).alias("_salt"),
+        # By place in the scan, so that rows of one or no doc_id are spread as well.
+        F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), runs), F.lit(0)).alias("_salt"),
     )
     spread = rows.repartitionByRange(tasks(docs.sparkSession), "_p", "_h", "_salt")
     # The exchange carries the text once; it is normalised again behind it.
     spread = spread.withColumn("_t", ascii_lower(F.col("text")))
-    kept_columns = [c for c in carry if c != "doc_id"]
+    kept_columns = [more.get(c, c) for c in names]
     run = Window.partitionBy("_p", "_h", "_salt", "_t")
     best = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     pick = F.max if keep == "max" else F.min
     spread = spread.select(
-        "doc_id", *kept_columns, "_sha", "_hot", "_t",
+        "doc_id", *kept_columns, "_sha", "_hot", "_salt", "_t",
         pick("doc_id").over(run).alias("_keep"), F.count(F.lit(1)).over(run).alias("_size"),
         F.row_number().over(run.orderBy(best)).alias("_nth"),
     )
-    # The runs of a hot text meet here: one row of each run, combined by the whole text before the shuffle.
+    # The runs of a hot text meet here: one row of each run, combined by the whole text before the shuffle; the best
+    # row stays in one run only.
+    null_last = F.col("_keep").isNotNull() if keep == "max" else F.col("_keep").isNull()
     whole = (
         spread.where("_hot and _nth = 1").groupBy("_t", "_sha")
-        .agg(pick("_keep").alias("_hot_keep"), F.sum("_size").alias("_hot_size"))
-        .select("_sha", "_hot_keep", "_hot_size")
+        .agg(pick(F.struct(null_last.alias("n"), F.col("_keep").alias("keep"), F.col("_salt").alias("salt"))).alias("_best"), F.sum("_size").alias("_hot_size"))
+        .select("_sha", F.col("_best.keep").alias("_hot_keep"), F.col("_best.salt").alias("_hot_salt"), "_hot_size")
     )
     out = spread.drop("_t").join(F.broadcast(whole), "_sha", "left")
     keep_id = F.when(F.col("_hot"), F.col("_hot_keep")).otherwise(F.col("_keep"))
     return out.select(
         "doc_id", keep_id.alias("keep_id"),
         F.when(F.col("_hot"), F.col("_hot_size")).otherwise(F.col("_size")).alias("group_size"),
-        ((F.col("_nth") == 1) & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"),
-        F.col("_sha").alias("text_sha256"), *kept_columns,
+        ((F.col("_nth") == 1) & F.col("doc_id").eqNullSafe(keep_id) & (~F.col("_hot") | (F.col("_salt") == F.col("_hot_salt")))).alias("kept"),
+        F.col("_sha").alias("text_sha256"), *[F.col(more.get(c, c)).alias(f"carried_{c}" if c in own else c) for c in names],
     )
 
 

@@ -8,6 +8,8 @@ last epoch the rows before the cut, the row at the cut in part.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,23 +49,32 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_
     return s.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 0, bucket_rows: int = 64, block: int = 256) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 0, bucket_rows: int = 64, block: int = 256, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row, and the columns to carry.
 
-    Null texts have size 0 and take nothing; a null source is a source of its own, ordered last.  Repeated rows are
-    ordered by size after key and doc_id, so any order among equals gives the same rows.  Reruns agree: the key is a
-    digest of seed and doc_id.
+    Null and empty texts have size 0 and take nothing; very long texts count whole; a null source is a source of its
+    own, ordered last.  Reruns agree: the key is a digest of seed, doc_id and text, so rows of one or no doc_id spread
+    like others, and equal keys are ordered by doc_id and size; rows that are equal in these are interchangeable, but
+    for what is carried, which orders them last.  An empty table gives an empty table.  Other columns are not read, so
+    they may have any name; a carried one named as a column of the result comes back as carried_<name>.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    d = d.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    d = materialise(d, "mix")  # sizes and keys only: the texts are read once
+    source, id_ = F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id")
+    more = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    keyed = docs.select(id_, source, words(F.col("text")).alias("size"), key.alias("_key"), *more)
+    # Sizes and keys only: the texts are read once, and once more where columns are carried.
+    d = materialise(keyed.select("doc_id", "source", "size", "_key"), "mix")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     plan = materialise(targets(sizes, weights, max_epochs), "mix-plan")
     p = plan.select(F.col("source").alias("_s"), "source_size", "target", "n_rows")
-    d = d.join(p, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # The first 12 hex digits as a fraction of the key's range; buckets are equal ranges of it.
     at = F.conv(F.substring("_key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    d = d.withColumn("_b", F.floor(at * F.ceil(F.col("n_rows") / bucket_rows)))
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(p, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return rows.withColumn("_b", F.floor(at * F.ceil(F.col("n_rows") / bucket_rows)))
+
+    d = bucketed(d)
     sums = d.groupBy("source", "_b").agg(F.sum("size").alias("_sum")).withColumn("_k", F.floor(F.col("_b") / block))
     blocks = sums.groupBy("source", "_k").agg(F.sum("_sum").alias("_ksum"))
     up_to = (Window.unboundedPreceding, -1)
@@ -72,20 +83,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCH
     b = blocks.select(F.col("source").alias("_s"), F.col("_k").alias("_kk"), "_kbase")
     sums = sums.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_kk")))
     sums = sums.select(F.col("source").alias("_s"), F.col("_b").alias("_bb"), (F.col("_base") + F.col("_kbase")).alias("_base"))
+    if carry:
+        d = bucketed(keyed)
     d = d.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb"))).drop("_s", "_bb")
-    row = Window.partitionBy("source", "_b").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(*up_to)
+    order = [F.col(f"_c{i}") for i, c in enumerate(carry) if docs.schema[c].dataType.simpleString() in ("string", "bigint", "int", "double", "boolean")]
+    row = Window.partitionBy("source", "_b").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size", *order).rowsBetween(*up_to)
     d = d.withColumn("_before", F.col("_base") + F.coalesce(F.sum("size").over(row), F.lit(0)))
     budget = F.floor(F.least(F.col("target"), max_epochs * F.col("source_size")) + F.lit(1e-9)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("_before")))
-    return d.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"))
+    own = ("doc_id", "source", "size", "source_size", "target", "taken")
+    back = [F.col(f"_c{i}").alias(f"carried_{c}" if c in own else c) for i, c in enumerate(carry)]
+    return d.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), *back)
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (

@@ -7,8 +7,8 @@ so a run of one harmless word is not read as loudly as an insult.  A document is
 same in a long text as in a short one.  Vectors and classifier are trained together: first every window of a document
 carries the document's label, then only the window that decides it, then scale and offset are fitted to the labels.
 
-Training reads a bounded sample of labelled rows on the driver (``max_docs`` rows of at most ``max_chars``
-characters); scoring reads every whole text in one narrow pass.
+Training reads a bounded sample of labelled rows on the driver (at most ``max_docs`` rows and ``max_chars`` characters
+in all); scoring reads every whole text in one narrow pass.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W_]+")
@@ -173,18 +173,22 @@ def in_training(doc_id: Column | str) -> Column:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_chars: int) -> tuple[list[tuple[str, int]], float]:
-    """At most max_docs rows of the training folds, a quarter of them ones, those first by hash of doc_id; and the share of ones."""
+    """At most max_docs rows of the training folds, a quarter of them ones, first by hash of doc_id, of any length; and
+    the share of ones.  A row beyond max_chars characters in all is left out."""
     own = labels.where(F.col(label).isin(0, 1) & in_training("doc_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     n, ones = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
-    text = docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
+    text = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     zeros, few = (own.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(k) for y, k in ((0, max_docs - max_docs // 4), (1, max_docs // 4)))
     # At most max_docs ids, so the broadcast is bounded.
-    rows = text.join(F.broadcast(zeros.union(few)), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
-    rows = rows.orderBy("doc_id", "text").limit(2 * max_docs).collect()
-    return [(r[1], r[2]) for r in rows], (ones / n if n else 0.5)
+    rows = text.join(F.broadcast(zeros.union(few)), F.col("doc_id") == F.col("_id")).select("text", "_y", F.xxhash64("doc_id").alias("_h"), "doc_id")
+    rows = rows.orderBy("_h", "doc_id", "text").limit(max_docs)
+    so_far = F.sum(F.length("text")).over(Window.orderBy("_h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.withColumn("_sum", so_far).where(F.col("_sum") <= max_chars).select("text", "_y").collect()
+    return [(r[0], r[1]) for r in found], (ones / n if n else 0.5)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2400, max_chars: int = 20_000) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2400, max_chars: int = 24_000_000) -> Model:
+    """The sample is bounded by max_docs rows and max_chars characters in all; labels that are null or neither 0 nor 1 are left out."""
     rows, share = sample_labelled(docs, labels, "toxic", max_docs, max_chars)
     return train([t for t, _ in rows], [y for _, y in rows], share)
 
@@ -192,23 +196,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2400, max_c
 def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
     """The given columns (doc_id if none), score and predicted of every row.
 
-    Null and empty texts get the score of no words.  Repeated rows get equal scores.
+    Null and empty texts and texts without a word get the score of no words; very long texts are read whole.  Repeated
+    rows get equal scores, and ties do not arise.  An empty table gives an empty table.  Other columns than those given
+    and text are not read, so they may have any name; a given one named score or predicted comes back as carried_<name>.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.weights.tobytes(), model.bias, model.scale, model.shift, model.empty, model.window))
-    columns = columns or ["doc_id"]
-    rows = docs.select(*columns) if "text" in columns else docs.select(*columns, "text")
-    text_at, kept = rows.columns.index("text"), len(columns)
+    columns = list(columns or ["doc_id"])
+    names = [f"c{i}" for i in range(len(columns))]
+    rows = docs.select(*[F.col(c).alias(x) for c, x in zip(columns, names)], F.col("text").cast("string").alias("t"))
 
     def run(batches: Iterator) -> Iterator:
         raw, *rest = sent.value
         score = Model(np.frombuffer(raw), *rest).score
         for batch in batches:
-            s = pa.array([score(t.as_py() or "") for t in batch.column(text_at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], s], names=[*columns, "_score"])
+            s = pa.array([score(t.as_py() or "") for t in batch.column(len(names))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], s], names=[*names, "s"])
 
-    schema = docs.select(*columns, F.lit(0.0).alias("_score")).schema
-    out = rows.mapInArrow(run, schema)
-    return out.select(*columns, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    out = rows.mapInArrow(run, rows.select(*names, F.lit(0.0).alias("s")).schema)
+    back = [F.col(x).alias(f"carried_{c}" if c in ("score", "predicted") else c) for c, x in zip(columns, names)]
+    return out.select(*back, F.col("s").alias("score"), (F.col("s") >= 0.5).cast("int").alias("predicted"))
