@@ -4,7 +4,8 @@ Evidence of a document is a logistic classifier over counts of its characters, w
 functions.  Sites are levels of a hierarchy: a host, and paths below it.  Grouped sums of the classifier's
 probabilities over all documents give each site a Beta posterior whose prior is its parent's mean, with a strength
 fitted by the method of moments at that level, so sparse sites shrink to their parent and the global rate while large
-ones keep their own.  A document's score adds to its own log-odds what its path's posterior adds to the global rate.
+ones keep their own.  A document's score adds to its own log-odds what its path's posterior, taken without the document
+itself, adds to the global rate.
 """
 
 from __future__ import annotations
@@ -80,8 +81,9 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def strength(sites: DataFrame, level: str) -> float:
-    """Method of moments: how many documents the parent's rate is worth to a site of this level."""
+def strength(sites: DataFrame) -> float:
+    """Method of moments: how many documents the parent's rate is worth to a site (_n documents of sum _s, parent's rate
+    _parent) of a level; 10 where no site holds two."""
     s = sites.where(F.col("_n") > 1).select("_n", (F.col("_s") / F.col("_n")).alias("_m"), F.col("_parent"))
     r = s.agg(F.avg((F.col("_m") - F.col("_parent")) ** 2), F.avg(F.col("_parent") * (1 - F.col("_parent"))), F.avg(1 / F.col("_n"))).first()
     if r[0] is None or r[1] in (None, 0.0):
@@ -93,8 +95,11 @@ def strength(sites: DataFrame, level: str) -> float:
 def score_quality(docs: DataFrame, model: dict, host: Column, path: Column, pull: float = 0.5) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, score, predicted of every row.
 
-    A null host or path is a site of its own.  Null and empty texts have the features 0.  Repeated rows count as often
-    as they stand.  The site tables hold one row a site; sums over a hot site are combined before the shuffle.
+    host_rate and path_rate are posteriors without the document itself.  A null host or path is a site of its own.  Null
+    and empty texts have the features of an empty text; very long texts are read whole.  Repeated rows count as often as
+    they stand; ties do not arise; an empty table gives an empty table.  The site tables hold one row a site; sums over
+    a hot site are combined before the shuffle.  Other columns than doc_id, text and those of host and path are not
+    read, so they may have any name.
     """
     from .common import materialise
 
@@ -102,18 +107,21 @@ def score_quality(docs: DataFrame, model: dict, host: Column, path: Column, pull
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), evidence(text, model).alias("evidence"))
     d = materialise(d.withColumn("_p", 1 / (1 + F.exp(-F.col("evidence")))), "quality")
     paths = materialise(d.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_s")), "quality-paths")
-    hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    n, s = paths.agg(F.sum("_n"), F.sum("_s")).first()
+    hosts = materialise(paths.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs")), "quality-hosts")
+    n, s = paths.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_s"), F.lit(0.0))).first()
     rate = float(s / n) if n else 0.5
-    hosts = hosts.withColumn("_parent", F.lit(rate))
-    k = strength(hosts, "host")
-    hosts = hosts.select("_host", ((F.col("_s") + k * rate) / (F.col("_n") + k)).alias("host_rate"))
-    h = hosts.select(F.col("_host").alias("_h"), "host_rate")
-    paths = paths.join(h, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
-    k = strength(paths.withColumn("_parent", F.col("host_rate")), "path")
-    paths = paths.select(F.col("_host").alias("_h"), F.col("_path").alias("_q"), "host_rate", ((F.col("_s") + k * F.col("host_rate")) / (F.col("_n") + k)).alias("path_rate"))
-    d = d.join(paths, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_q")))
-    score = 1 / (1 + F.exp(-(F.col("evidence") + pull * (logit(F.col("path_rate")) - logit(F.lit(rate))))))
+    k_host = strength(hosts.select(F.col("_hn").alias("_n"), F.col("_hs").alias("_s"), F.lit(rate).alias("_parent")))
+    mean = (F.col("_hs") + k_host * rate) / (F.col("_hn") + k_host)
+    sites = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
+    k_path = strength(sites.select("_n", "_s", mean.alias("_parent")))
+    sites = sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_q"), "_n", "_s", "_hn", "_hs")
+    d = d.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_q")))
+    # A document's own evidence is in its score already, so the sums that speak for its site leave it out.
+    prior = F.lit(rate) if n < 2 else (F.lit(float(s)) - F.col("_p")) / (n - 1)
+    host_rate = (F.col("_hs") - F.col("_p") + k_host * prior) / (F.col("_hn") - 1 + k_host)
+    d = d.withColumn("host_rate", host_rate)
+    d = d.withColumn("path_rate", (F.col("_s") - F.col("_p") + k_path * F.col("host_rate")) / (F.col("_n") - 1 + k_path))
+    score = 1 / (1 + F.exp(-(F.col("evidence") + pull * (logit(F.col("path_rate")) - logit(prior)))))
     return d.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
