@@ -207,7 +207,7 @@ def listed(n: int, r: int, t: int, k: int) -> int:
 
 
 def prefixes(reps: DataFrame, heavy: DataFrame, t: int, k: int) -> DataFrame:
-    """value, id: what of each class is listed.  heavy (value, df) is sent to every task; its caller bounds it."""
+    """value, id, extra: what of each class is listed; extra, what hash alone would not list.  heavy (value, df) is sent to every task; its caller bounds it."""
     rows = heavy.select("value", F.log2("df").cast("byte").alias("df")).toPandas()
     value, df = rows["value"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int8)
     order = np.argsort(value)
@@ -218,28 +218,33 @@ def prefixes(reps: DataFrame, heavy: DataFrame, t: int, k: int) -> DataFrame:
 
         known, df = np.frombuffer(sent.value[0], np.uint64), np.frombuffer(sent.value[1], np.int8)
         for batch in batches:
-            values, counts = [], []
+            values, counts, extra = [], [], []
             for n, v in zip(batch.column(1).to_pylist(), batch.column(2)):
                 own = unsigned(v)
                 many = listed(n, len(own), t, k)
+                last = own[min(many, len(own)) - 1]
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     own = own[np.argsort(np.where(known[at] == own, df[at], 0), kind="stable")]
                 values.append(own[:many])
                 counts.append(min(many, len(own)))
+                extra.append(own[:many] > last)
             if values:
                 ids = np.repeat(batch.column(0).to_numpy(), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(ids)], names=["value", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(ids), pa.array(np.concatenate(extra))], names=["value", "id", "extra"])
 
-    return reps.select("id", "n", "v").mapInArrow(run, "value long, id long")
+    return reps.select("id", "n", "v").mapInArrow(run, "value long, id long, extra boolean")
 
 
 def close_sizes(a: Column, b: Column, t: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * t
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose union's coarse sketch estimates enough."""
+def likely(pairs: DataFrame, reps: DataFrame, t: int, made: Folders, few: int) -> DataFrame:
+    """The pairs (a, b) of close sizes whose union's coarse sketch estimates enough.
+
+    Up to ``few`` ids (16 bytes each) go to the scan of the sketches, so that only theirs move, and to the pairs.
+    """
     limit = margin(t / 100, COARSE)
 
     def run(batches: Iterator) -> Iterator:
@@ -249,6 +254,14 @@ def likely(pairs: DataFrame, sketches: DataFrame, t: int) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COARSE) for i in (2, 3))
             yield batch.filter(pa.array(estimates(a, b) >= limit)).select(["a", "b"])
 
+    pairs, sketches = made.materialise(pairs, "near-listed"), reps.select("id", "n", "s")
+    ids = made.materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-asked")
+    if ids.count() <= few:
+        sketches = made.materialise(sketches.join(F.broadcast(ids), "id", "left_semi"), "near-sketches")
+        sizes = sketches.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        for side in "ab":
+            pairs = pairs.join(F.broadcast(sizes.select(F.col("id").alias(side), F.col("low").alias(f"l{side}"), F.col("high").alias(f"h{side}"))), side)
+        pairs = pairs.where("hb * 100 >= la * %d and ha * 100 >= lb * %d" % (t, t)).select("a", "b")
     p = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
     p = p.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
     return p.where(close_sizes(F.col("na"), F.col("nb"), t)).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
@@ -477,26 +490,29 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
         reps = keep(reps, "near-reps")
     # How many classes would list a value by hash alone.
     first = F.when(F.col("n") * 100 <= t * k, F.col("n") - F.ceil(F.col("n") * t / 100) + 1).otherwise(F.least("n", F.lit(k)) - math.floor(k * margin(t / 100, k)) + 1)
-    counts = keep(reps.select(F.explode(F.slice("v", F.lit(1), first.cast("int"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > short), "near-often")
+    counts = keep(reps.select(F.explode(F.slice("v", F.lit(1), first.cast("int"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-often")
     bound = short
     while counts.where(F.col("df") > bound).count() > max_heavy:
         bound *= 2
     index = keep(prefixes(reps, counts.where(F.col("df") > bound), t, k), "near-index")
-    made.drop(counts)
+    # A value is listed by two only if hash alone lists it twice or if another order brought it up.
+    shared = keep(counts.select("value").union(index.where("extra").select("value").distinct()), "near-shared")
+    held = keep(index.join(F.broadcast(shared) if shared.count() <= few else shared, "value", "left_semi").select("value", "id"), "near-held")
+    made.drop(counts, index, shared)
     # The smallest id of a list is its hub; long lists have two more, as one may be an odd copy.
     odd = F.lit(0x2F0B4C47A95D6E13)
-    hubs = index.groupBy("value").agg(
+    hubs = held.groupBy("value").agg(
         F.count(F.lit(1)).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.col("id").bitwiseXOR(odd)).alias("other"),
         F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2"),
     ).where("low < high")
     # Of lists with the same members one is enough.
     hubs = hubs.groupBy("m", "f1", "f2", "low", "high", "other").agg(F.min("value").alias("value"))
     hubs = keep(hubs.select("value", "m", F.when(F.col("m") > short, F.array("low", "high", F.col("other").bitwiseXOR(odd))).otherwise(F.array("low")).alias("hubs")), "near-hubs")
-    lists = keep(index.join(hubs, "value"), "near-lists")
-    made.drop(index, hubs)
+    lists = keep(held.join(hubs, "value"), "near-lists")
+    made.drop(held, hubs)
     stars = lists.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
     stars = stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    stars = keep(likely(stars, reps, t), "near-stars")
+    stars = keep(likely(stars, reps, t, made, few), "near-stars")
     links = keep(confirm(stars, reps, docs, shingle, t, k, made, few), "near-links")
     # What links one row of a doc_id links all.
     several = own.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
@@ -507,7 +523,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     labelled = keep(labelled, "near-labelled")
     made.drop(lists)
     blocks = keep(long_links(labelled.where(F.col("m") > short), reps, t, k, block, made), "near-blocks")
-    more = likely(short_pairs(labelled.where(F.col("m") <= short)).distinct().join(stars, ["a", "b"], "left_anti"), reps, t)
+    more = likely(short_pairs(labelled.where(F.col("m") <= short)).distinct().join(stars, ["a", "b"], "left_anti"), reps, t, made, few)
     more = more.union(blocks.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti")).distinct()
     more = keep(more, "near-more")
     found = keep(blocks.where("sure").select("a", "b").union(confirm(more, reps, docs, shingle, t, k, made, few)), "near-found")
