@@ -133,7 +133,7 @@ def components(docs, n, t=80):
 @pytest.mark.parametrize("n,k,short,block,few", [(4, 256, 64, 1024, 500_000), (5, 40, 3, 4, 0), (4, 256, 3, 4, 0)])
 def test_near_dedup(spark, rows, n, k, short, block, few):
     """few=0 takes the shuffled joins throughout."""
-    got = near_dedup.near_dedup(frame(spark, rows), shingle=n, short=short, block=block, k=k, few=few, max_heavy=20).collect()
+    got = near_dedup.near_dedup(frame(spark, rows), shingle=n, short=short, block=block, k=k, few=few, max_heavy=20, max_shared=few).collect()
     want = components(rows, n)
     assert len(got) == len(rows)
     for r in got:
