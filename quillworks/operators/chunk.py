@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,71 +94,54 @@ def chunk_plain(drafts: DataFrame) -> DataFrame:
 
 # --- cutting with fences -------------------------------------------------
 
+#: The white space, and what marks a quote, a list item and a fence.
 WS_PY = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-QUOTE = re.compile(r" {0,3}> ?")
-ITEM = re.compile(r" *(?:[-*+]|[0-9]{1,9}[.)]) +")
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.DOTALL)
-
-
-class Place:
-    """What a line sits in: how many quotes deep, and the column where an open list item's content starts."""
-
-    def __init__(self, depth: int = 0, column: int = 0):
-        self.depth, self.column = depth, column
-
-    @staticmethod
-    def unquote(line: str) -> tuple[int, str]:
-        depth = 0
-        while m := QUOTE.match(line):
-            depth, line = depth + 1, line[m.end() :]
-        return depth, line
-
-    def after(self, line: str) -> Place:
-        depth, rest = self.unquote(line)
-        if item := ITEM.match(rest):
-            return Place(depth, item.end())
-        column = self.column if depth == self.depth else 0
-        bare = rest.strip(WS_PY)
-        outdented = bare and len(rest) - len(rest.lstrip(WS_PY)) < column
-        return Place(depth, 0 if outdented else column)
-
-    def inside(self, line: str) -> str | None:
-        depth, rest = self.unquote(line)
-        if depth != self.depth or len(rest) - len(rest.lstrip(WS_PY)) < self.column:
-            return None
-        return rest[self.column :]
-
-    def fence(self, line: str) -> tuple[str, str] | None:
-        body = self.inside(line)
-        m = FENCE.fullmatch(body) if body is not None else None
-        return (m[1], m[2]) if m else None
+QUOTES, ITEM, DRAWN = r"(?: {0,3}+> ?+)", r" *(?:[-*+]|[0-9]{1,9}[.)]) +", r" {0,3}(?P<drawn>`{3,}(?=[^`]*\Z)|~{3,})"
+SHAPE = re.compile(rf"(?P<quotes>{QUOTES}*+)(?P<item>{ITEM})?(?P<rest>.*)", re.DOTALL)
+OPENS = re.compile(DRAWN, re.DOTALL)
+
+
+@lru_cache(maxsize=256)
+def closer(depth: int, column: int, drawn: str) -> re.Pattern:
+    """Lines that close a fence: at its depth of quotes, not left of its column, drawn with its mark, at least as long."""
+    return re.compile(rf"{QUOTES}{{{depth}}}[{WS_PY}]{{{column}}} {{0,3}}{re.escape(drawn[0])}{{{len(drawn)},}}[ \t]*")
+
+
+def fenced(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """[start, end) of each fenced run of lines, its marks included; one that nothing closes takes the rest.
+
+    Only what decides whether a fence counts is carried along: how deep the quotes are, and the column at which the
+    content of an open list item stands.
+    """
+    depth = column = at = 0
+    while at < len(lines):
+        shape = SHAPE.fullmatch(lines[at])
+        item, rest, outer = shape["item"], shape["rest"], depth
+        depth = shape["quotes"].count(">")
+        if item:  # a fence on the line of the mark itself is text
+            column, rest = len(item), ""
+        else:
+            filled = rest.lstrip(WS_PY)
+            if depth != outer or (filled and len(rest) - len(filled) < column):
+                column = 0
+            rest = rest[column:] if filled else ""
+        at += 1
+        if drawn := OPENS.match(rest):
+            begin, ends = at - 1, closer(depth, column, drawn["drawn"])
+            at = next((i for i in range(at, len(lines)) if ends.fullmatch(lines[i])), len(lines)) + 1
+            yield begin, min(at, len(lines))
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, str]]:
-    """(first line, text) of the paragraphs of a draft; an open fence swallows the rest."""
-    held: list[str] = []
-    begin, place, fence = 1, Place(), None
-    for number, line in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1):
-        if fence:
-            drawn = fence[1].fence(line)
-            if drawn and drawn[0].startswith(fence[0]) and not drawn[1].strip(" \t"):
-                fence = None
-            continue
-        place = place.after(line)
-        drawn = place.fence(line)
-        opens = drawn and not (drawn[0][0] == "`" and "`" in drawn[1])
-        if opens:
-            fence = (drawn[0], place)
-        if opens or not line.strip(WS_PY):
-            if held:
-                yield begin, "\n".join(held)
-            held = []
-            continue
-        if not held:
-            begin = number
-        held.append(line)
-    if held:
-        yield begin, "\n".join(held)
+    """(first line, text) of the paragraphs of a draft: runs of lines that are neither blank nor fenced."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    prose = [bool(line.strip(WS_PY)) for line in lines]
+    for a, b in fenced(lines):
+        prose[a:b] = [False] * (b - a)
+    for is_prose, run in groupby(range(len(lines)), prose.__getitem__):
+        if is_prose:
+            at = list(run)
+            yield at[0] + 1, "\n".join(lines[at[0] : at[-1] + 1])
 
 
 SENTENCE = re.compile(f"[.!?]+(?=[{WS_PY}]|\\Z)[{WS_PY}]*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -252,11 +252,13 @@ def drawn(key: int, total: int | None) -> Draws:
     return draws
 
 
-def candidates(bases: DataFrame, clean: DataFrame, ruleset: Ruleset, seed: int, most: int, mode: str, bank: Bank | None, ords: Collection[int] | None = None) -> DataFrame:
+def candidates(bases: DataFrame, clean: DataFrame, ruleset: Ruleset, seed: int, most: int, mode: str, bank: Bank | None, ords: Collection[int] | None = None, refused: Mapping[int, Collection[int]] | None = None) -> DataFrame:
     """Planted texts of the first paragraphs each rule (all, or those of the given places) would try, in that order; refusals carry a reason and no text.
 
-    Texts come from the bases by (id, file), which name one paragraph: its rules are not run a second time.
+    Texts come from the bases by (id, file), which name one paragraph: its rules are not run a second time.  refused
+    names the places of a rule whose planted fault was not accepted and so may be planted again.
     """
+    refused = dict(refused or {})
     by_id = {i: r for i, r in enumerate(ruleset.rules) if r.seed and (ords is None or i in ords)}
     heads = [(i, r.id, key_py(f"{seed}:{r.id}")) for i, r in by_id.items()]
     first = firsts(clean, heads, most, mode)
@@ -278,7 +280,8 @@ def candidates(bases: DataFrame, clean: DataFrame, ruleset: Ruleset, seed: int,
             except SeedError as e:
                 out.append((*common, None, None, name, str(e)))
                 continue
-            used.add(sentence)
+            if len(out) not in refused.get(at, ()):
+                used.add(sentence)
             out.append((*common, sentence or None, text, name, None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in CANDIDATE.split(", ")])
 
@@ -297,6 +300,30 @@ def accepted(made: DataFrame, ruleset: Ruleset) -> DataFrame:
     return tripped.withColumn("reason", why).drop("_t")
 
 
+def settled(bases: DataFrame, clean: DataFrame, ruleset: Ruleset, seed: int, per_rule: int, most: int, mode: str, bank: Bank | None, ords: Collection[int] | None) -> DataFrame:
+    """Candidates with reasons, where only accepted faults of the bank count as used.
+
+    Which fault comes next depends on what was accepted before, so each pass settles the first refusal that is not
+    known yet, of every rule; without a bank, and mostly with one, there is a single pass.
+    """
+    known: dict[int, set[int]] = {}
+    while True:
+        made = accepted(candidates(bases, clean, ruleset, seed, most, mode, bank, ords, known), ruleset).persist()
+        if not bank:
+            return made
+        before = F.count_if(F.col("reason").isNull()).over(Window.partitionBy("ord").orderBy("made"))
+        open_ = made.withColumn("_fine", before).where(F.col("reason").isNotNull() & F.col("text").isNotNull() & (F.col("_fine") < per_rule)).select("ord", "made").collect()
+        fresh = {}
+        for i, place in sorted(map(tuple, open_)):
+            if place not in known.get(i, ()):
+                fresh.setdefault(i, place)
+        if not fresh:
+            return made
+        made.unpersist()
+        for i, place in fresh.items():
+            known.setdefault(i, set()).add(place)
+
+
 def seed_corpus(bases: DataFrame, ruleset: Ruleset, seed: int = 1, per_rule: int = PER_RULE, mode: str = "exact", bank: Bank | None = None, tries: int = 8) -> tuple[DataFrame, DataFrame]:
     """(seeded, refused): per_rule planted copies of clean paragraphs for each rule that carries a recipe.
 
@@ -307,7 +334,7 @@ def seed_corpus(bases: DataFrame, ruleset: Ruleset, seed: int = 1, per_rule: int
     clean = split_clean(bases, ruleset).where("clean").select("id", "file", "text")
     judged, most, short = None, per_rule * tries, None
     while judged is None or short:
-        made = accepted(candidates(bases, clean, ruleset, seed, most, mode, bank, short), ruleset).persist()
+        made = settled(bases, clean, ruleset, seed, per_rule, most, mode, bank, short)
         counts = made.groupBy("ord").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("fine")).collect()
         short = [r.ord for r in counts if r.fine < per_rule and r.n >= most]
         done = made.where(~F.col("ord").isin(short)) if short else made
@@ -326,27 +353,32 @@ def seed_corpus(bases: DataFrame, ruleset: Ruleset, seed: int = 1, per_rule: int
 
 
 def near_misses(spark: SparkSession, hosts: Sequence[tuple[str, str, str]] | DataFrame, ruleset: Ruleset, bank: Bank, seed: int = 1) -> DataFrame:
-    """N01, N02, ...: texts that look like a fault and are none, in hosts (id, file, text); the place in the order of hosts runs over all rules."""
-    out: list[tuple] = []
-    rules = [(i, r.id, key_py(f"{seed}:{r.id}:negative")) for i, r in enumerate(ruleset.rules) if r.id in bank.negatives]
-    # No more hosts of a rule are looked at than there are near misses in all.
-    most = sum(len(bank.negatives[r]) for _, r, _ in rules)
-    found: dict[int, list] = {}
+    """N01, N02, ...: texts that look like a fault and are none, in hosts (id, file, text).
+
+    A near miss goes to the host whose place in its rule's own shuffle is the number of near misses planted so far, for
+    any rule; one that its host holds already is left out and takes no place.
+    """
+    queue = [(i, r.id, *near) for i, r in enumerate(ruleset.rules) for near in bank.negatives.get(r.id, ())]
+    keys = {i: key_py(f"{seed}:{rule}:negative") for i, rule, _, _ in queue}
     if isinstance(hosts, DataFrame):
-        first = hosts.select("id", "file", "text").join(F.broadcast(firsts(hosts, rules, most)), ["id", "file"])
-        for r in first.orderBy("ord", "nth").select("ord", "total", "id", "file", "text").collect():
-            found.setdefault(r[0], []).append(r[1:])
-    for i, rule, key in rules:
-        if isinstance(hosts, DataFrame):
-            total, order = (found[i][0][0], [r[1:] for r in found[i]]) if i in found else (0, [])
-            draws = drawn(key, total)
-        else:
-            draws, total = Draws(key), len(hosts)
-            order = draws.shuffled(list(hosts))
-        if not order:
-            continue
-        for text, why in bank.negatives[rule]:
-            host = order[len(out) % total]
-            if text not in host[2]:
-                out.append((f"N{len(out) + 1:02d}", host[0], host[1], rule, why, splice_py(host[2], text, "any", draws)[0]))
-    return spark.createDataFrame(out, "id string, base_id string, base_file string, rule string, why string, text string")
+        heads = [(i, ruleset.rules[i].id, key) for i, key in keys.items()]
+        # No place beyond the number of near misses is ever asked for.
+        first = hosts.select("id", "file", "text").join(F.broadcast(firsts(hosts, heads, len(queue))), ["id", "file"])
+        rows = first.select("ord", "nth", "total", "id", "file", "text").collect()
+        places = {(r.ord, r.nth - 1): (r.id, r.file, r.text) for r in rows}
+        totals = {r.ord: r.total for r in rows}
+        draws = {i: drawn(key, totals.get(i)) for i, key in keys.items()}
+    else:
+        draws = {i: Draws(key) for i, key in keys.items()}
+        places = {(i, nth): h for i in keys for nth, h in enumerate(draws[i].shuffled(list(hosts)))}
+        totals = dict.fromkeys(keys, len(hosts)) if hosts else {}
+
+    def planted() -> Iterator[tuple]:
+        n = 0
+        for i, rule, text, why in queue if totals else ():
+            id_, file, body = places[i, n % totals[i]]
+            if text not in body:
+                n += 1
+                yield f"N{n:02d}", id_, file, rule, why, splice_py(body, text, "any", draws[i])[0]
+
+    return spark.createDataFrame(list(planted()), "id string, base_id string, base_file string, rule string, why string, text string")

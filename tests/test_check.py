@@ -220,6 +220,32 @@ def test_seeding_goes_on_until_a_rule_has_its_copies(spark, mode):
     assert none.count() == 0 and refused.count() == 300
 
 
+def test_a_refused_fault_of_the_bank_may_be_planted_again(spark):
+    """Against the sequential form: a fault counts as used only if its text was accepted."""
+    base = "The river ran low, and the mill stood still through the dry month of August {}. Nobody in the village could say why it had come so early this year."
+    rows = [(f"C{i:02d}", f"f{i}", 1, base.format(i)) for i in range(20)]
+    rules = Ruleset((DASH, Rule("j", "judgment", "m", what="w", criteria=("a", "b"), seed=Seed(splice=("Planted here.",)))))
+    bank = seed.Bank({"j": [(f, []) for f in ("A dash \u2014 here.", "Another \u2014 there.", "Planted one.", "Planted two.")]}, {})
+    df = spark.createDataFrame(rows, "id string, file string, line int, text string")
+    refusals = 0
+    for value in (1, 2, 3):
+        draws, used, want = prng.Draws(prng.key_py(f"{value}:j")), set(), []
+        for id_, _, _, text in draws.shuffled(rows):
+            faults = bank.ordered("j", text)
+            new, fault = seed.plant(rules.rules[1], text, draws, [f for f in faults if f not in used] or faults)
+            if "\u2014" in new:
+                refusals += 1
+                continue
+            used.add(fault)
+            want.append((id_, fault, new))
+            if len(want) == 3:
+                break
+        made, refused = seed.seed_corpus(df, rules, seed=value, bank=bank)
+        assert [(r.base_id, r.sentence, r.text) for r in made.orderBy("id").collect()] == want
+        assert {r.reason for r in refused.collect()} <= {"also tripped dash"}
+    assert refusals > 0
+
+
 def test_near_misses_draw_hosts_from_all(spark):
     rows = [(f"C{i:04d}", f"f{i}", f"One {i}. Two. Three.") for i in range(1_500)]
     rules, bank = Ruleset((Rule("j", "judgment", "m", what="w", criteria=("a", "b")), Rule("k", "judgment", "m", what="w", criteria=("a", "b")))), seed.Bank({}, {"j": [(f"Near {i}.", "why") for i in range(9)], "k": [("Close.", "why")]})
