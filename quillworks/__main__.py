@@ -16,6 +16,14 @@ def session():  # noqa: ANN201
     return s
 
 
+def shared_folder(spark) -> None:  # noqa: ANN001
+    """Checkpoints go to the folder that the cluster names; to one of our own only where one machine runs all."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(where or os.path.join(os.getcwd(), ".quillworks-work"))
+
+
 def main(argv: list[str] | None = None) -> int:
     """0 no flags, 1 flags, 2 failure, 3 no consent."""
     from .plans import report
@@ -48,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         spark = session()
         texts, rejects = D.read_drafts(spark, a.paths or ["."], os.getcwd())
-        for r in rejects.collect():
+        for r in rejects.toLocalIterator():
             print(f"{r.file}: not read, it {r.reason}", file=sys.stderr)
         judge = None
         if a.replay:
@@ -60,8 +68,7 @@ def main(argv: list[str] | None = None) -> int:
             from .plans.check import check
 
             if judge:
-
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), ".quillworks-work"))
+                shared_folder(spark)
             found = check(texts, rules, tags(a.only), tags(a.skip), judge, bar=a.threshold)
             out = G.json_out(found.flags) if a.json else G.lines_out(found.flags)
             n = 0
@@ -74,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
         from .operators.chunk import chunk_drafts
         from .plans.evaluate import evaluate
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), ".quillworks-work"))
+        shared_folder(spark)
         chunks = chunk_drafts(texts).where("kind = 'prose'")
         bases = chunks.select(F.concat(F.lit("C"), F.lpad(F.conv(F.hex(F.xxhash64("file", "line")), 16, 10), 20, "0")).alias("id"), "file", "line", "text")
         tables = evaluate(bases, rules, judge, a.seed).tables(a.threshold or rules.bar)
