@@ -19,7 +19,7 @@ def session():  # noqa: ANN201
 def shared_folder(spark) -> None:  # noqa: ANN001
     """Checkpoints go to the folder that the cluster names; to one of our own only where one machine runs all."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local["):
+    if not where and not f"{spark.sparkContext.master}[".startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(where or os.path.join(os.getcwd(), ".quillworks-work"))
 
