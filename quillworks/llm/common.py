@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where one machine runs all, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not f"{spark.sparkContext.master}[".startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="quillworks-")
         spark.conf.set("spark.checkpoint.dir", where)
