@@ -456,7 +456,7 @@ def long_links(lists: DataFrame, reps: DataFrame, t: int, k: int, block: int, ma
     return in_blocks(lists, reps, t, block, made).groupBy("value", "g", "i", "h", "j").applyInPandas(run, "a long, b long, sure boolean").distinct()
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 256, short: int = 64, block: int = 1024, max_heavy: int = 500_000, few: int = 500_000, max_shared: int = 2_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 256, short: int = 64, block: int = 1024, max_heavy: int = 500_000, few: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are runs of other characters than space and U+0009 to U+000D, A-Z lower-cased; a set is the distinct shingles
@@ -468,8 +468,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
 
     k values are retained of a set.  Physical bounds, without effect on the result: lists over ``short`` members are
     compared in blocks of up to ``block``; at most ``max_heavy`` of the most frequent values (9 bytes each) decide the
-    order of listing; up to ``few`` pairs or ids (24 bytes each) and ``max_shared`` listed values (8 bytes each) are
-    broadcast, more are joined with a shuffle.
+    order of listing; up to ``few`` pairs or ids (24 bytes each) are broadcast, more are joined with a shuffle.  Listed
+    values, whose number grows with the corpus, always take the shuffle.
     """
     t, made = similarity, Folders(docs.sparkSession)
     keep = made.materialise
@@ -498,7 +498,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     index = keep(prefixes(reps, counts.where(F.col("df") > bound), t, k), "near-index")
     # A value is listed by two only if hash alone lists it twice or if another order brought it up.
     shared = keep(counts.select("value").union(index.where("extra").select("value").distinct()), "near-shared")
-    held = keep(index.join(F.broadcast(shared) if shared.count() <= max_shared else shared, "value", "left_semi").select("value", "id"), "near-held")
+    held = keep(index.join(shared.hint("merge"), "value", "left_semi").select("value", "id"), "near-held")
     made.drop(counts, index, shared)
     # The smallest id of a list is its hub; long lists have two more, as one may be an odd copy.
     odd = F.lit(0x2F0B4C47A95D6E13)
