@@ -1,8 +1,8 @@
 """Patterns that could backtrack without end are refused before they reach a plan.
 
-The pattern is parsed, and its tree is read for two shapes: a repeat with no bound, or a high one, over something
-that holds another such repeat; and a repeat over branches that can start with the same character.  A timed probe on
-short strings of the pattern's own characters follows: a measurement, not a proof.
+The pattern is parsed, and its tree is read for two shapes: a repeat of no fixed count over something that holds
+another such repeat, whatever their bounds; and a repeat over branches that can start with the same character.  A
+timed probe on short strings of the pattern's own characters follows: a measurement, not a proof.
 """
 
 from __future__ import annotations
@@ -16,17 +16,16 @@ try:
 except ImportError:  # before 3.11
     import sre_parse as parser
 
-MANY = 8
 PROBE_LENGTHS, PROBE_SECONDS = (4, 8, 12, 16, 20, 24), 0.025
 
 
-def _repeats(tree, many: bool = True):  # noqa: ANN001, ANN202
-    """The repeats in a tree that can go round often."""
+def _repeats(tree):  # noqa: ANN001, ANN202
+    """The repeats in a tree that can match more than one length."""
     for op, arg in tree:
         name = str(op)
         if name in ("MAX_REPEAT", "MIN_REPEAT"):
             low, high, body = arg
-            if high > MANY and high != low:
+            if high != low:
                 yield body
             yield from _repeats(body)
         elif name == "SUBPATTERN":
