@@ -25,7 +25,7 @@ def shared_folder(spark) -> None:  # noqa: ANN001
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0 no flags, 1 flags, 2 failure, 3 no consent."""
+    """0 no flags, 1 flags, 2 failure, also of a judge that answered nothing it was asked."""
     from .plans import report
     from .sources import drafts as D
     from .sources import ruleset as R
@@ -75,7 +75,13 @@ def main(argv: list[str] | None = None) -> int:
             for row in out.orderBy("file", "line", "rule").toLocalIterator():
                 print(row[3])
                 n += 1
-            return 1 if n else 0
+            if found.outcomes is None:
+                return 1 if n else 0
+            for row in G.skip_lines(found.skipped).orderBy("unsent", "text").toLocalIterator():
+                print(row.text, file=sys.stderr)
+            print(G.usage(found.outcomes, found.hits).first().text, file=sys.stderr)
+            asked, answered = found.outcomes.selectExpr("count(*)", "count_if(outcome = 'answered')").first()
+            return 2 if asked and not answered else 1 if n else 0
         from pyspark.sql import functions as F
 
         from .operators.chunk import chunk_drafts

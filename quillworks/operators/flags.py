@@ -80,6 +80,32 @@ def degradation(skipped: DataFrame) -> DataFrame:
     return skipped.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select("reason", "n", F.col("f.file").alias("file"), F.col("f.line").alias("line"))
 
 
+def skip_lines(skipped: DataFrame) -> DataFrame:
+    """skipped (file, line, outcome, reason) to n and text: a line a reason, and one a stop for all it left unsent."""
+    rows = skipped.groupBy((F.col("outcome") == "not sent").alias("unsent"), "reason").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "line")).alias("f"))
+    text = (
+        F.when(F.col("unsent"), F.format_string("asking stopped (%s), %d paragraphs were left unsent", "reason", "n"))
+        .when(F.col("n") == 1, F.format_string("no judgment of %s:%d, %s", "f.file", "f.line", "reason"))
+        .otherwise(F.format_string("no judgment of %d paragraphs, %s (the first is %s:%d)", "n", "reason", "f.file", "f.line"))
+    )
+    return rows.select("n", "unsent", text.alias("text"))
+
+
+def usage(outcomes: DataFrame, hits: DataFrame | None = None, usd_per_million: float | None = None) -> DataFrame:
+    """One row of what the outcomes of a judge cost, with its line of text; hits are the answers the cache held."""
+    one = outcomes.agg(
+        F.coalesce(F.sum("attempts"), F.lit(0)).alias("requests"), F.coalesce(F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(0)).alias("retries"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("latency_ms"),
+    )
+    cached = F.lit(0).cast("long").alias("cached")
+    one = one.select("*", cached) if hits is None else one.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("cached"))))
+    price = F.lit(usd_per_million).cast("double")
+    one = one.withColumn("usd", F.col("input_tokens") * price / 1e6)
+    cost = F.when(price.isNull(), "no price known").otherwise(F.format_string("$%.6f at $%.3f a million", "usd", price))
+    line = F.format_string("%d requests (%d repeated), %d input tokens, %s, %d ms, %d from the cache", "requests", "retries", "input_tokens", cost, "latency_ms", "cached")
+    return one.withColumn("text", line)
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -21,6 +21,8 @@ class Checked:
     readings: DataFrame | None = None
     outcomes: DataFrame | None = None
     dropped: list[tuple[str, str]] | None = None
+    skipped: DataFrame | None = None
+    hits: DataFrame | None = None
 
 
 def messages(spark, ruleset: Ruleset) -> DataFrame:  # noqa: ANN001
@@ -66,6 +68,8 @@ def check(
         cache.store(found.join(fresh.select("key", "wording", "rules"), "key"), cache_path, now_ms)
         found = found.unionByName(hits.select("key", "model", "nouls"))
     read = flags.readings_of(asked.select("file", "line", "key").join(found.select("key", "nouls"), "key").select("file", "line", "nouls"), messages(spark, ruleset))
-    out.readings, out.outcomes = read, answers
+    out.readings, out.outcomes, out.hits = read, answers, hits
+    unjudged = answers.where("outcome <> 'answered'").select("key", "outcome", F.col("message").alias("reason"))
+    out.skipped = asked.select("file", "line", "key").join(unjudged, "key").select("file", "line", "outcome", "reason")
     out.flags = flags.merge_flags(counted, flags.flags_from(read, ruleset.bar if bar is None else bar))
     return out

@@ -30,9 +30,14 @@ def keep_latest(drafts: DataFrame, ruleset: Ruleset, table_path: str, checkpoint
     """Starts a query that keeps, under table_path, one folder of flags for each batch; latest() reads the newest of each draft."""
 
     def write(batch: DataFrame, number: int) -> None:
-        files = batch.select("file").distinct()
-        found = files.join(stream_flags(batch, ruleset), "file", "left").withColumn("batch", F.lit(number))
-        found.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        # Read once: both the names and the flags come from it.
+        batch = batch.persist()
+        try:
+            files = batch.select("file").distinct()
+            found = files.join(stream_flags(batch, ruleset), "file", "left").withColumn("batch", F.lit(number))
+            found.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        finally:
+            batch.unpersist()
 
     writer = drafts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

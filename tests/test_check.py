@@ -313,3 +313,27 @@ def test_recording(spark, tmp_path):
     assert [again.ask(t, '{"j": 1}')["nouls"].get("j") for t in ("One bad.", "One bad. Two fine.", "else")] == [0.9, 0.2, None]
     with pytest.raises(ValueError):
         replay.recording_of(done.withColumn("outcome", F.lit("failed")), asked.select("key", "text"))
+
+
+def test_usage_and_skip_lines(spark):
+    from quillworks.operators import flags, judge
+
+    rows = [
+        ("a", "answered", {"r": 0.9}, "m", 1000, 10, True, 2, 30, None),
+        ("b", "failed", None, "m", 500, 0, True, 1, 20, "timed out"),
+        ("c", "not sent", None, "m", 0, 0, True, 0, 0, "timed out"),
+    ]
+    outcomes = spark.createDataFrame(rows, judge.ANSWERS)
+    got = flags.usage(outcomes, spark.range(4), 0.1).first()
+    assert (got.requests, got.retries, got.input_tokens, got.latency_ms, got.cached) == (3, 1, 1500, 50, 4)
+    assert abs(got.usd - 0.00015) < 1e-12 and "$0.000150 at $0.100 a million" in got.text
+    free = flags.usage(outcomes).first()
+    assert free.usd is None and free.cached == 0 and "no price known" in free.text
+    assert flags.usage(outcomes.limit(0)).first().requests == 0
+    skipped = [("f", 9, "failed", "timed out"), ("f", 3, "failed", "timed out"), ("g", 1, "failed", "refused"), ("h", 1, "not sent", "timed out"), ("h", 2, "not sent", "timed out")]
+    lines = flags.skip_lines(spark.createDataFrame(skipped, "file string, line int, outcome string, reason string"))
+    assert sorted(r.text for r in lines.collect()) == [
+        "asking stopped (timed out), 2 paragraphs were left unsent",
+        "no judgment of 2 paragraphs, timed out (the first is f:3)",
+        "no judgment of g:1, refused",
+    ]
