@@ -115,6 +115,13 @@ def test_kinds_of_whole_documents(spark, tmp_path):
     assert mix == {k: (n[k], {"prose": n[k], "block_quote": n[k], "list": 2}.get(k, 0)) for k in WRAPS}
 
 
+def test_marks_of_lists_are_no_words(spark, tmp_path):
+    # 11 words are too few and 12 are enough, however many lines bear a mark.
+    texts = ["one two three four five six seven eight nine ten eleven", "one two three four five six\nseven eight nine ten eleven", "a\nb\nc\nd\ne\nf", "one two three four five six\nseven eight nine ten eleven twelve"]
+    d = texts_table(spark, tmp_path, [(8 * i + 2, t) for i, t in enumerate(texts)])
+    assert [tuple(r) for r in Q.queries()["chunk_kind_mix"](spark, d).collect()] == [("list", 4, 1)]
+
+
 def test_whole_texts_are_scrubbed_and_masked(spark, tmp_path):
     from quillworks.operators.scrub import HIDDEN, scrub
 
