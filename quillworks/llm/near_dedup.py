@@ -333,6 +333,12 @@ def components(links: DataFrame, made: Folders) -> DataFrame:
             return labels
 
 
+def stars_of(lists: DataFrame) -> DataFrame:
+    """a, b: each member of a list with each of its hubs."""
+    stars = lists.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
+    return stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def short_pairs(lists: DataFrame) -> DataFrame:
     """a, b of short lists, over different components."""
     g = lists.groupBy("value").agg(F.collect_list(F.struct("id", "comp")).alias("l"))
@@ -360,7 +366,7 @@ def forest(rest: np.ndarray, others: np.ndarray, comp: dict[int, int], i: np.nda
     return out
 
 
-def common_counts(rest: list[np.ndarray], others: list[np.ndarray], step: int = 4096) -> np.ndarray:
+def common_counts(rest: list[np.ndarray], others: list[np.ndarray], step: int = 1024) -> np.ndarray:
     """Size of the intersection of each set of rest with each of others; the sets hold distinct values."""
     sizes = [len(x) for x in rest] + [len(x) for x in others]
     values, at = np.unique(np.concatenate([*rest, *others]), return_inverse=True)
@@ -368,15 +374,25 @@ def common_counts(rest: list[np.ndarray], others: list[np.ndarray], step: int =
     shared = np.bincount(at, minlength=len(values)) > 1
     number = np.cumsum(shared) - 1
     row, col = row[shared[at]], number[at[shared[at]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
     out = np.zeros((len(rest), len(others)), np.float32)
-    for a in range(0, int(col.max()) + 1 if len(col) else 0, step):
-        use = (col >= a) & (col < a + step)
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        use = slice(*np.searchsorted(col, (a, a + step)))
         matrix = np.zeros((len(sizes), step), np.float32)
         matrix[row[use], col[use] - a] = 1
         out += matrix[: len(rest)] @ matrix[len(rest) :].T
     return out
 
 
+def filled(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """The rows as one array, filled up with NONE."""
+    out = np.full((len(rows), width), NONE)
+    for r, x in enumerate(rows):
+        out[r, : len(x)] = x
+    return out
+
+
 def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest value that each row of a shares with that of b; rows hold distinct values and are filled up with NONE."""
     u = np.sort(np.hstack([a, b]), axis=1)
@@ -389,27 +405,31 @@ def in_blocks(lists: DataFrame, reps: DataFrame, t: int, block: int, made: Folde
     """Members of lists over several components, dealt to blocks in which all are compared.
 
     Sizes of sets fall into bins by powers of 100 / t, so that linked sets lie in the same bin or in neighbouring ones.
-    A block (value, g, i, h, j) holds a part i of bin g of what is not in the list's main component (rest), and a part
-    j of bin h of the whole list.  Only ids that such a list holds bring their sets.
+    A list of up to ``block`` members is one block (i is -1), in which each stands once.  Of longer ones a block
+    (value, g, i, h, j) holds a part i of bin g of what is not in the list's main component (rest), and a part j of bin h
+    of the whole list.  Only ids that such a list holds bring their sets.
     """
     per = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
     # A document stands in a bounded number of lists, no more than its listed values.
     own = lists.groupBy("id").agg(F.collect_set("value").alias("own"))
-    held = made.materialise(lists.join(main.select("value", "main"), "value").withColumn("other", F.col("comp") != F.col("main")).drop("main", "m"), "near-held")
+    held = made.materialise(lists.join(main.select("value", "main", "all"), "value").withColumn("other", F.col("comp") != F.col("main")).drop("main", "m"), "near-held")
     sets = made.materialise(reps.join(held.select("id").distinct(), "id", "left_semi").select("id", "n", "v", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(t, 99)) + 1e-9).cast("int").alias("bin")), "near-long-sets")
     rows = held.join(sets.select("id", "n", "bin"), "id")
-    cells = made.materialise(rows.groupBy("value", "bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.ceil(F.count_if("other") / block).cast("int").alias("parts")), "near-cells")
+    cells = made.materialise(rows.where(F.col("all") > block).groupBy("value", "bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.ceil(F.count_if("other") / block).cast("int").alias("parts")), "near-cells")
     left = cells.where("parts > 0").select("value", F.col("bin").alias("g"), "parts", F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1)).alias("h"))
     left = left.join(cells.select("value", F.col("bin").alias("h"), "blocks"), ["value", "h"])
     rows = rows.join(sets.select("id", "n", "v"), ["id", "n"]).join(own, "id")
-    keep = ["value", "id", "n", "comp", "v", "own"]
+    keep = ["value", "id", "n", "bin", "comp", "v", "own"]
+    none = F.lit(0).cast("int")
+    small = rows.where(F.col("all") <= block).select(none.alias("g"), F.lit(-1).alias("i"), none.alias("h"), none.alias("j"), F.col("other").alias("rest"), *keep)
+    rows = rows.where(F.col("all") > block)
     h, g = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    members = rows.join(left.withColumnRenamed("h", "bin"), ["value", "bin"])
+    members = rows.join(left.withColumn("bin", F.col("h")).drop("h"), ["value", "bin"])
     members = members.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("bin").alias("h"), h.alias("j"), F.lit(False).alias("rest"), *keep)
     others = rows.where("other").join(left.withColumnRenamed("g", "bin"), ["value", "bin"])
     others = others.select(F.col("bin").alias("g"), g.alias("i"), "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("rest"), *keep)
-    return members.unionByName(others)
+    return small.unionByName(members).unionByName(others)
 
 
 def long_links(lists: DataFrame, reps: DataFrame, t: int, k: int, block: int, made: Folders) -> DataFrame:
@@ -418,42 +438,45 @@ def long_links(lists: DataFrame, reps: DataFrame, t: int, k: int, block: int, ma
     Where both sets are retained whole exact Jaccard is taken in the block, and no more links leave it than join
     components (sure); of the others those pairs that pass the estimate, each in its first common list only.
     """
-    limit = margin(t / 100, k)
+    import pyarrow as pa
 
-    def run(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        value = np.array([pdf["value"].iloc[0]]).view(np.uint64)[0]
-        pdf = pdf[~pdf.assign(v=[v.tobytes() for v in pdf["v"]]).duplicated(["rest", "id", "v"])]
-        rest, every = pdf[pdf["rest"]], pdf[~pdf["rest"]]
-        if not len(rest) or not len(every):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sure": np.zeros(0, bool)})
-        vr, ve = ([np.asarray(v, np.int64).view(np.uint64) for v in x["v"]] for x in (rest, every))
-        nr, ne = (x["n"].to_numpy(np.int64) for x in (rest, every))
-        common = common_counts(vr, ve)
-        apart = rest["comp"].to_numpy()[:, None] != every["comp"].to_numpy()[None, :]
-        whole = (nr <= k)[:, None] & (ne <= k)[None, :]
-        linked = whole & apart & (100 * common >= t * (nr[:, None] + ne[None, :] - common))
-        sure = forest(rest["id"].to_numpy(), every["id"].to_numpy(), dict(zip(pdf["id"], pdf["comp"])), *np.nonzero(linked))
-        least = np.minimum(nr[:, None], ne[None, :])
-        maybe = ~whole & apart & (common >= limit * np.minimum(k, least) - 1e-6) & (least * 100 >= np.maximum(nr[:, None], ne[None, :]) * t)
-        i, j = np.nonzero(maybe)
-        width = int(max(map(len, pdf["own"])))
-        own = np.full((len(pdf), width), NONE)
-        for r, x in enumerate(pdf["own"]):
-            own[r, : len(x)] = np.asarray(x, np.int64).view(np.uint64)
-        own_r, own_e = own[pdf["rest"].to_numpy()], own[~pdf["rest"].to_numpy()]
-        out = []
-        for x in range(0, len(i), 20_000):
-            ii, jj = i[x : x + 20_000], j[x : x + 20_000]
-            here = first_common(own_r[ii], own_e[jj]) == value
-            out += [(r, e) for r, e in zip(ii[here].tolist(), jj[here].tolist()) if similar(vr[r], nr[r] <= k, ve[e], ne[e] <= k, t, k)[0]]
-        a, b = (np.array([x[side] for x in out], np.int64) for side in (0, 1))
-        a, b = rest["id"].to_numpy()[a], every["id"].to_numpy()[b]
-        low, high = np.array([x[0] for x in sure], np.int64), np.array([x[1] for x in sure], np.int64)
-        return pd.DataFrame({"a": np.concatenate([low, np.minimum(a, b)]), "b": np.concatenate([high, np.maximum(a, b)]), "sure": np.arange(len(low) + len(a)) < len(low)})
-
-    return in_blocks(lists, reps, t, block, made).groupBy("value", "g", "i", "h", "j").applyInPandas(run, "a long, b long, sure boolean").distinct()
+    limit = margin(t / 100, k)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+
+    def run(block):  # noqa: ANN001, ANN202
+        value = np.array([block.column("value")[0].as_py()]).view(np.uint64)[0]
+        rest, id_, n, bin_, comp = (block.column(c).to_numpy() for c in ("rest", "id", "n", "bin", "comp"))
+        v, own = ([unsigned(x) for x in block.column(c)] for c in ("v", "own"))
+        alone = block.column("i")[0].as_py() < 0
+        first = {(rest[x], id_[x], v[x].tobytes()): x for x in reversed(range(len(v)))}
+        keep = np.sort(np.fromiter(first.values(), np.int64, len(first)))
+        comps = dict(zip(id_.tolist(), comp.tolist()))
+        low, high, sure = [], [], []
+        for g in np.unique(bin_[keep[rest[keep]]]).tolist():
+            r = keep[rest[keep] & (bin_[keep] == g)]
+            e = keep[abs(bin_[keep] - g) <= 1] if alone else keep[~rest[keep]]
+            if not len(e):
+                continue
+            nr, ne = n[r][:, None], n[e][None, :]
+            common = common_counts([v[x] for x in r], [v[x] for x in e])
+            apart = comp[r][:, None] != comp[e][None, :]
+            whole = (nr <= k) & (ne <= k)
+            linked = whole & apart & (100 * common >= t * (nr + ne - common))
+            for a, b in forest(id_[r], id_[e], comps, *np.nonzero(linked)):
+                low.append(a), high.append(b), sure.append(True)
+            least = np.minimum(nr, ne)
+            i, j = np.nonzero(~whole & apart & (common >= limit * np.minimum(k, least) - 1e-6) & (least * 100 >= np.maximum(nr, ne) * t))
+            width = max(len(own[x]) for x in keep)
+            wide = {side: filled([own[x] for x in at], width) for side, at in (("r", r), ("e", e))} if len(i) else {}
+            for x in range(0, len(i), 4_000):
+                ii, jj = i[x : x + 4_000], j[x : x + 4_000]
+                here = first_common(wide["r"][ii], wide["e"][jj]) == value
+                for p, q in zip(r[ii[here]].tolist(), e[jj[here]].tolist()):
+                    if similar(v[p], n[p] <= k, v[q], n[q] <= k, t, k)[0]:
+                        low.append(min(id_[p], id_[q])), high.append(max(id_[p], id_[q])), sure.append(False)
+        return pa.table([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sure, pa.bool_())], schema=schema)
+
+    return in_blocks(lists, reps, t, block, made).groupBy("value", "g", "i", "h", "j").applyInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int = 256, short: int = 64, block: int = 1024, max_heavy: int = 500_000, few: int = 500_000) -> DataFrame:
@@ -473,6 +496,14 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     """
     t, made = similarity, Folders(docs.sparkSession)
     keep = made.materialise
+
+    def alone(make, name: str) -> DataFrame:  # noqa: ANN001
+        """What make(folders) returns, written; what it wrote on its way is deleted then."""
+        own = Folders(docs.sparkSession)
+        out = keep(make(own), name)
+        own.drop_all()
+        return out
+
     sig = keep(signatures(docs, shingle, k), "near-sets")
     real = sig.where("doc_id is not null and n > 0")
     classes = keep(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("digest", "rep"), "near-classes")
@@ -511,10 +542,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     hubs = keep(hubs.select("value", "m", F.when(F.col("m") > short, F.array("low", "high", F.col("other").bitwiseXOR(odd))).otherwise(F.array("low")).alias("hubs")), "near-hubs")
     lists = keep(held.join(hubs, "value"), "near-lists")
     made.drop(held, hubs)
-    stars = lists.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
-    stars = stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    stars = keep(likely(stars, reps, t, made, few), "near-stars")
-    links = keep(confirm(stars, reps, docs, shingle, t, k, made, few), "near-links")
+    stars = alone(lambda f: likely(stars_of(lists), reps, t, f, few), "near-stars")
+    links = alone(lambda f: confirm(stars, reps, docs, shingle, t, k, f, few), "near-links")
     # What links one row of a doc_id links all.
     several = own.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     same = own.where("rep <> doc_id").join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -523,11 +552,12 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     labelled = lists.select("value", "id", "m").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     labelled = keep(labelled, "near-labelled")
     made.drop(lists)
-    blocks = keep(long_links(labelled.where(F.col("m") > short), reps, t, k, block, made), "near-blocks")
-    more = likely(short_pairs(labelled.where(F.col("m") <= short)).distinct().join(stars, ["a", "b"], "left_anti"), reps, t, made, few)
-    more = more.union(blocks.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti")).distinct()
-    more = keep(more, "near-more")
-    found = keep(blocks.where("sure").select("a", "b").union(confirm(more, reps, docs, shingle, t, k, made, few)), "near-found")
+    blocks = alone(lambda f: long_links(labelled.where(F.col("m") > short), reps, t, k, block, f), "near-blocks")
+    fresh = short_pairs(labelled.where(F.col("m") <= short)).distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = blocks.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti")
+    more = alone(lambda f: likely(fresh, reps, t, f, few).union(open_).distinct(), "near-more")
+    made.drop(labelled, stars)
+    found = alone(lambda f: blocks.where("sure").select("a", "b").union(confirm(more, reps, docs, shingle, t, k, f, few)), "near-found")
     last = first if found.isEmpty() else components(links.union(found), made)
     own = own.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     out = own.join(last.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))

@@ -168,6 +168,15 @@ def test_near_dedup_one_value_in_very_many_classes(spark):
     assert {i: c for i, c in got.items() if i != c} == {6_000: 1, 6_001: 1} and len(got) == 5_002
 
 
+def test_near_dedup_deals_a_list_of_one_block_once(spark):
+    from quillworks.llm.common import Folders
+
+    lists = spark.createDataFrame([(5, i, 70, i) for i in range(70)], "value long, id long, m long, comp long")
+    reps = spark.createDataFrame([(i, 20 + i, list(range(20 + i))) for i in range(70)], "id long, n long, v array<long>")
+    rows = near_dedup.in_blocks(lists, reps, 80, 70, Folders(spark)).select("id", "i").collect()
+    assert sorted(r.id for r in rows) == list(range(70)) and {r.i for r in rows} == {-1}
+
+
 def test_near_dedup_of_a_doc_id_with_several_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
     docs = [(7, a, "s"), (7, b, "s"), (3, a, "s"), (9, f"{b} more", "s"), (7, a, "s"), (8, "other words that stand alone", "s"), (8, None, "s")]
