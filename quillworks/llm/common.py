@@ -59,6 +59,10 @@ class Folders:
             jvm = self.spark._jvm
             jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of steps that are written; else they stay until the driver's heap is full."""
+        self.spark._jvm.System.gc()
+
     def drop_all(self, *but: DataFrame) -> None:
         self.drop(*[df for df in self.paths.values() if not any(df is b for b in but)])
 

@@ -37,6 +37,8 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0
 COARSE = 64
 #: Characters that are shingled at a time.
 STEP_BYTES = 2 << 20
+#: Blocks that a row goes to.
+PLACES = "array<struct<g:int,i:int,h:int,j:int,rest:boolean>>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -415,21 +417,29 @@ def in_blocks(lists: DataFrame, reps: DataFrame, t: int, block: int, made: Folde
     own = lists.groupBy("id").agg(F.collect_set("value").alias("own"))
     held = made.materialise(lists.join(main.select("value", "main", "all"), "value").withColumn("other", F.col("comp") != F.col("main")).drop("main", "m"), "near-held")
     sets = made.materialise(reps.join(held.select("id").distinct(), "id", "left_semi").select("id", "n", "v", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(t, 99)) + 1e-9).cast("int").alias("bin")), "near-long-sets")
-    rows = held.join(sets.select("id", "n", "bin"), "id")
+    rows = made.materialise(held.join(sets.select("id", "bin").distinct(), "id"), "near-rows")
     cells = made.materialise(rows.where(F.col("all") > block).groupBy("value", "bin").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.ceil(F.count_if("other") / block).cast("int").alias("parts")), "near-cells")
     left = cells.where("parts > 0").select("value", F.col("bin").alias("g"), "parts", F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1)).alias("h"))
     left = left.join(cells.select("value", F.col("bin").alias("h"), "blocks"), ["value", "h"])
-    rows = rows.join(sets.select("id", "n", "v"), ["id", "n"]).join(own, "id")
-    keep = ["value", "id", "n", "bin", "comp", "v", "own"]
-    none = F.lit(0).cast("int")
-    small = rows.where(F.col("all") <= block).select(none.alias("g"), F.lit(-1).alias("i"), none.alias("h"), none.alias("j"), F.col("other").alias("rest"), *keep)
-    rows = rows.where(F.col("all") > block)
-    h, g = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-    members = rows.join(left.withColumn("bin", F.col("h")).drop("h"), ["value", "bin"])
-    members = members.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("bin").alias("h"), h.alias("j"), F.lit(False).alias("rest"), *keep)
-    others = rows.where("other").join(left.withColumnRenamed("g", "bin"), ["value", "bin"])
-    others = others.select(F.col("bin").alias("g"), g.alias("i"), "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("rest"), *keep)
-    return small.unionByName(members).unionByName(others)
+    # Where a row goes is settled before it brings its set, so that each set is joined once.
+    as_member = left.groupBy("value", F.col("h").alias("bin")).agg(F.collect_list(F.struct("g", "parts", "blocks")).alias("below"))
+    as_other = left.groupBy("value", F.col("g").alias("bin")).agg(F.collect_list(F.struct("h", "parts", "blocks")).alias("above"))
+    rows = rows.join(as_member, ["value", "bin"], "left").join(as_other, ["value", "bin"], "left")
+
+    def place(g, i, h, j, rest) -> Column:  # noqa: ANN001
+        return F.struct(*[F.lit(x).cast("int").alias(name) if isinstance(x, int) else x.cast("int").alias(name) for name, x in (("g", g), ("i", i), ("h", h), ("j", j))], rest.alias("rest"))
+
+    def turns(n: Column) -> Column:
+        return F.sequence(F.lit(0), n - 1)
+
+    members = F.flatten(F.transform("below", lambda c: F.transform(turns(c["parts"]), lambda i: place(c["g"], i, F.col("bin"), F.pmod(F.xxhash64("id"), c["blocks"]), F.lit(False)))))
+    others = F.flatten(F.transform("above", lambda c: F.transform(turns(c["blocks"]), lambda j: place(F.col("bin"), F.pmod(F.xxhash64("id", F.lit(1)), c["parts"]), c["h"], j, F.lit(True)))))
+    none = F.array().cast(PLACES)
+    long = F.concat(F.coalesce(members, none), F.when(F.col("other"), F.coalesce(others, none)).otherwise(none))
+    rows = rows.select("value", "id", F.col("bin").alias("at"), "comp", F.when(F.col("all") <= block, F.array(place(0, -1, 0, 0, F.col("other")))).otherwise(long).alias("places"))
+    # By id alone, as own is: sets move once.  An id has several only where its texts differ; each has its bin.
+    rows = rows.where(F.size("places") > 0).join(sets.join(own, "id"), "id").where(F.abs(F.col("at") - F.col("bin")) < 1)
+    return rows.select(F.explode("places").alias("p"), "value", "id", "n", "bin", "comp", "v", "own").select("p.*", "value", "id", "n", "bin", "comp", "v", "own")
 
 
 def long_links(lists: DataFrame, reps: DataFrame, t: int, k: int, block: int, made: Folders) -> DataFrame:
@@ -502,6 +512,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
         own = Folders(docs.sparkSession)
         out = keep(make(own), name)
         own.drop_all()
+        own.free()
         return out
 
     sig = keep(signatures(docs, shingle, k), "near-sets")
@@ -523,6 +534,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     # How many classes would list a value by hash alone.
     first = F.when(F.col("n") * 100 <= t * k, F.col("n") - F.ceil(F.col("n") * t / 100) + 1).otherwise(F.least("n", F.lit(k)) - math.floor(k * margin(t / 100, k)) + 1)
     counts = keep(reps.select(F.explode(F.slice("v", F.lit(1), first.cast("int"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-often")
+    made.free()
     bound = short
     while counts.where(F.col("df") > bound).count() > max_heavy:
         bound *= 2
@@ -531,6 +543,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     shared = keep(counts.select("value").union(index.where("extra").select("value").distinct()), "near-shared")
     held = keep(index.join(shared.hint("merge"), "value", "left_semi").select("value", "id"), "near-held")
     made.drop(counts, index, shared)
+    made.free()
     # The smallest id of a list is its hub; long lists have two more, as one may be an odd copy.
     odd = F.lit(0x2F0B4C47A95D6E13)
     hubs = held.groupBy("value").agg(
@@ -542,6 +555,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     hubs = keep(hubs.select("value", "m", F.when(F.col("m") > short, F.array("low", "high", F.col("other").bitwiseXOR(odd))).otherwise(F.array("low")).alias("hubs")), "near-hubs")
     lists = keep(held.join(hubs, "value"), "near-lists")
     made.drop(held, hubs)
+    made.free()
     stars = alone(lambda f: likely(stars_of(lists), reps, t, f, few), "near-stars")
     links = alone(lambda f: confirm(stars, reps, docs, shingle, t, k, f, few), "near-links")
     # What links one row of a doc_id links all.

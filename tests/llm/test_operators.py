@@ -177,6 +177,24 @@ def test_near_dedup_deals_a_list_of_one_block_once(spark):
     assert sorted(r.id for r in rows) == list(range(70)) and {r.i for r in rows} == {-1}
 
 
+def test_near_dedup_joins_each_set_once_to_its_blocks(spark):
+    """One read of the sets, whatever the ways of dealing, and each pair over components of a long list meets."""
+    from quillworks.llm.common import Folders
+
+    lists = spark.createDataFrame([(5, i, 70, i % 35) for i in range(70)] + [(6, i, 3, i) for i in range(3)], "value long, id long, m long, comp long")
+    reps = spark.createDataFrame([(i, 20 + i % 9, list(range(20 + i % 9))) for i in range(70)], "id long, n long, v array<long>")
+    dealt = near_dedup.in_blocks(lists, reps, 80, 8, Folders(spark))
+    assert len(re.findall(r"Relation \[id#\d+L,n#\d+L,v#", dealt._jdf.queryExecution().optimizedPlan().toString())) == 1
+    blocks = {}
+    for r in dealt.select("value", "g", "i", "h", "j", "rest", "id", "comp", "n", "own").collect():
+        assert sorted(r.own) == ([5, 6] if r.id < 3 else [5])
+        blocks.setdefault((r.value, r.g, r.i, r.h, r.j), []).append(r)
+    assert sorted(r.id for (value, *_), rows in blocks.items() if value == 6 for r in rows) == [0, 1, 2]
+    met = {(x.id, y.id) for (value, *_), rows in blocks.items() if value == 5 for x in rows if x.rest for y in rows if not y.rest}
+    main = 34  # the largest of equal components
+    assert all((a, b) in met for a in range(70) for b in range(70) if a % 35 != main and min(20 + a % 9, 20 + b % 9) * 100 >= 80 * max(20 + a % 9, 20 + b % 9))
+
+
 def test_near_dedup_of_a_doc_id_with_several_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
     docs = [(7, a, "s"), (7, b, "s"), (3, a, "s"), (9, f"{b} more", "s"), (7, a, "s"), (8, "other words that stand alone", "s"), (8, None, "s")]
