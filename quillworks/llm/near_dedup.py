@@ -33,8 +33,8 @@ from .common import Folders, tasks
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
-#: Values of the coarse sketch, the first of the sketch.
-COARSE = 64
+#: Values of the coarse sketch, the first of the sketch, and of the coarser one that is compared before it.
+COARSE, COARSER = 64, 24
 #: Characters that are shingled at a time.
 STEP_BYTES = 2 << 20
 #: Blocks that a row goes to.
@@ -131,6 +131,19 @@ def sketch(values: np.ndarray, k: int = COARSE) -> bytes:
     return out.tobytes()
 
 
+def sketches(reps: DataFrame, width: int) -> DataFrame:
+    """id, n, s: sketches of the retained values."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            s = pa.array([sketch(unsigned(v), width) for v in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s], names=["id", "n", "s"])
+
+    return reps.select("id", "n", "v").mapInArrow(run, "id long, n long, s binary")
+
+
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard of each row of two arrays of sketches: the share of common values among the k smallest of the union."""
     k = a.shape[1]
@@ -148,6 +161,15 @@ def margin(t: float, k: int) -> float:
     return max(1.5 / k, t - 6 * math.sqrt(t * (1 - t) / k))
 
 
+def floor_share(t: float, k: int) -> float:
+    """The share of common values among the k smallest of a union that pairs at t or more fall short of with a chance under one in a billion."""
+    m, tail = 0, (1 - t) ** k
+    while tail < 1e-9:
+        m += 1
+        tail += math.comb(k, m) * t**m * (1 - t) ** (k - m)
+    return m / k
+
+
 def similar(a: np.ndarray, whole_a: bool, b: np.ndarray, whole_b: bool, t: int, k: int) -> tuple[bool, bool]:
     """Whether two sets are linked, exactly if both are whole; else whether the sketch of their union lets them be."""
     common = np.intersect1d(a, b, assume_unique=True)
@@ -170,7 +192,7 @@ def unsigned(value) -> np.ndarray:  # noqa: ANN001
 
 
 def signatures(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """doc_id, n, digest, retained values (sorted, as signed), coarse sketch, of every row."""
+    """doc_id, n, digest, retained values (sorted, as signed) of every row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -179,15 +201,15 @@ def signatures(docs: DataFrame, shingle: int, k: int) -> DataFrame:
         for batch in batches:
             for ids, sets in shingles.parts(batch.column(0), batch.column(1)):
                 digest = [blake2b(v.tobytes(), digest_size=16).digest() for v in sets]
-                columns = [ids, pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), list_array([v[:k] for v in sets]), pa.array(map(sketch, sets), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "v", "s"])
+                columns = [ids, pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), list_array([v[:k] for v in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "v"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, v array<long>, s binary")
+    return rows.mapInArrow(run, "doc_id long, n long, digest binary, v array<long>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, n, v: the full sets of the documents with the given ids, one row an id."""
+    """id, n, v: the full sets, but for empty ones, of the rows with the given ids."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -198,7 +220,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), list_array(sets)], names=["id", "n", "v"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, n long, v array<long>")
+    return rows.mapInArrow(run, "id long, n long, v array<long>").where("n > 0")
 
 
 def listed(n: int, r: int, t: int, k: int) -> int:
@@ -243,37 +265,47 @@ def close_sizes(a: Column, b: Column, t: int) -> Column:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, t: int, made: Folders, few: int) -> DataFrame:
-    """The pairs (a, b) of close sizes whose union's coarse sketch estimates enough.
+    """The pairs (a, b) of close sizes whose union's sketches, the coarser one first, estimate enough.
 
-    Up to ``few`` ids (16 bytes each) go to the scan of the sketches, so that only theirs move, and to the pairs.
+    Few pairs pass the coarser one, so the wider one moves for few.  Up to ``few`` ids (16 bytes each) go to the scan of
+    the sets, so that only their sketches move, and to the pairs.
     """
-    limit = margin(t / 100, COARSE)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COARSE) for i in (2, 3))
-            yield batch.filter(pa.array(estimates(a, b) >= limit)).select(["a", "b"])
-
-    pairs, sketches = made.materialise(pairs, "near-listed"), reps.select("id", "n", "s")
-    ids = made.materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-asked")
-    if ids.count() <= few:
-        sketches = made.materialise(sketches.join(F.broadcast(ids), "id", "left_semi"), "near-sketches")
-        sizes = sketches.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        for side in "ab":
-            pairs = pairs.join(F.broadcast(sizes.select(F.col("id").alias(side), F.col("low").alias(f"l{side}"), F.col("high").alias(f"h{side}"))), side)
-        pairs = pairs.where("hb * 100 >= la * %d and ha * 100 >= lb * %d" % (t, t)).select("a", "b")
-    p = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
-    p = p.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
-    return p.where(close_sizes(F.col("na"), F.col("nb"), t)).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    def passing(width: int, limit: float):  # noqa: ANN202
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, width) for i in (2, 3))
+                yield batch.filter(pa.array(estimates(a, b) >= limit)).select(["a", "b"])
+
+        return run
+
+    pairs = made.materialise(pairs, "near-listed")
+    for width, limit in ((COARSER, floor_share(t / 100, COARSER)), (COARSE, margin(t / 100, COARSE))):
+        ids = made.materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-asked")
+        asked = ids.count() <= few
+        s = made.materialise(sketches(reps.join(F.broadcast(ids), "id", "left_semi") if asked else reps, width), "near-sketches")
+        p = pairs
+        if asked:
+            sizes = s.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+            for side in "ab":
+                p = p.join(F.broadcast(sizes.select(F.col("id").alias(side), F.col("low").alias(f"l{side}"), F.col("high").alias(f"h{side}"))), side)
+            p = p.where("hb * 100 >= la * %d and ha * 100 >= lb * %d" % (t, t)).select("a", "b")
+        p = p.join(s.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+        p = p.join(s.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+        p = p.where(close_sizes(F.col("na"), F.col("nb"), t)).select("a", "b", "sa", "sb").mapInArrow(passing(width, limit), "a long, b long")
+        passed = made.materialise(p.distinct(), "near-likely")
+        made.drop(pairs, ids, s)
+        pairs = passed
+    return pairs
 
 
 def compare(pairs: DataFrame, sets: DataFrame, t: int, k: int, made: Folders, few: int, run_size: int = 64) -> DataFrame:
     """a, b, sure: the pairs (a, b) that are linked (sure), or that the sketch of the union lets be.
 
-    Sets (id, n, v) of the partners travel to their a, in runs of about run_size partners, so a star of any size is
-    spread.  Up to ``few`` pairs (24 bytes each) are broadcast to the scan of the sets; more are joined with a shuffle.
+    Of a pair the one in more pairs is the center; sets (id, n, v) of the partners travel to it, in runs of about
+    run_size partners, so a star of any size is spread and its center moves once a run.  Up to ``few`` pairs (24 bytes each) are broadcast to the scan of the sets; more are joined with a shuffle.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -298,23 +330,40 @@ def compare(pairs: DataFrame, sets: DataFrame, t: int, k: int, made: Folders, fe
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
 
     small = F.broadcast if pairs.count() <= few else (lambda df: df)
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_d"))
-    pairs = made.materialise(pairs.join(small(degree), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("_d") / run_size))).drop("_d"), "near-pairs")
+    degree = made.materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")), "near-degrees")
+    for side in "ab":
+        pairs = pairs.join(small(degree.select(F.col("id").alias(side), F.col("d").alias(f"d{side}"))), side)
+    center = F.struct(F.when(F.col("db") > F.col("da"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("db") > F.col("da"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    pairs = pairs.select(center.alias("c"), F.greatest("da", "db").alias("d")).select("c.a", "c.b", "d")
+    pairs = made.materialise(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / run_size))).drop("d"), "near-pairs")
     partners = sets.join(small(pairs), F.col("id") == F.col("b")).select("a", "salt", "b", "n", "v")
     centers = sets.join(small(pairs.select("a", "salt").distinct()), F.col("id") == F.col("a")).select("a", "salt", F.lit(None).cast("long").alias("b"), "n", "v")
     rows = partners.unionByName(centers).repartition(tasks(sets.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long, sure boolean")
+    return rows.mapInArrow(run, "a long, b long, sure boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, t: int, k: int, made: Folders, few: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= t * union."""
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, repeated: DataFrame, shingle: int, t: int, k: int, made: Folders, few: int, estimated: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b), and those estimated on retained sets before, whose full sets have 100 * intersection >= t * union.
+
+    repeated: the ids of several rows; only their full sets are shuffled so that each different one stays once.
+    """
     found = made.materialise(compare(pairs, reps.select("id", "n", "v"), t, k, made, few), "near-compared")
     links, left = found.where("sure").select("a", "b"), found.where("not sure").select("a", "b")
+    if estimated is not None:
+        left = made.materialise(left.union(estimated).distinct(), "near-left")
     n_left = left.count()
     if not n_left:
         return links
+    made.free()
+    small = F.broadcast if n_left <= few else (lambda df: df)
     ids = made.materialise(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-open")
-    full = made.materialise(whole_sets(docs, F.broadcast(ids) if n_left <= few else ids, shingle).dropDuplicates(["id", "n"]), "near-full")
+    again = made.materialise(ids.join(repeated, "id", "left_semi"), "near-again")
+    if again.isEmpty():
+        full = whole_sets(docs, small(ids), shingle)
+    else:
+        ids = made.materialise(ids.join(again, "id", "left_anti"), "near-open")
+        full = whole_sets(docs, small(ids), shingle).unionByName(whole_sets(docs, small(again), shingle).dropDuplicates(["id", "v"]))
+    full = made.materialise(full, "near-full")
     return links.union(compare(left, full, t, k, made, few).where("sure").select("a", "b"))
 
 
@@ -528,7 +577,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     reps = real.join(small(per.select("doc_id", "digest")), ["doc_id", "digest"], "left_anti")
     if not repeated.isEmpty():
         reps = reps.unionByName(real.join(small(repeated), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]))
-    reps = reps.select(F.col("doc_id").alias("id"), "n", "v", "s")
+    reps = reps.select(F.col("doc_id").alias("id"), "n", "v")
     if n_copies > few:
         reps = keep(reps, "near-reps")
     # How many classes would list a value by hash alone.
@@ -541,6 +590,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     index = keep(prefixes(reps, counts.where(F.col("df") > bound), t, k), "near-index")
     # A value is listed by two only if hash alone lists it twice or if another order brought it up.
     shared = keep(counts.select("value").union(index.where("extra").select("value").distinct()), "near-shared")
+    # Once more: just after the counts were written their shuffle files were still held.
+    made.free()
     held = keep(index.join(shared.hint("merge"), "value", "left_semi").select("value", "id"), "near-held")
     made.drop(counts, index, shared)
     made.free()
@@ -557,9 +608,11 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     made.drop(held, hubs)
     made.free()
     stars = alone(lambda f: likely(stars_of(lists), reps, t, f, few), "near-stars")
-    links = alone(lambda f: confirm(stars, reps, docs, shingle, t, k, f, few), "near-links")
+    again = keep(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("c > 1"), "near-repeated")
+    ids = again.select(F.col("doc_id").alias("id"))
+    links = alone(lambda f: confirm(stars, reps, docs, ids, shingle, t, k, f, few), "near-links")
     # What links one row of a doc_id links all.
-    several = own.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    several = again.where("x <> y").select("doc_id")
     same = own.where("rep <> doc_id").join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = keep(links.union(same), "near-joined")
     first = components(links, made)
@@ -569,9 +622,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, k: int =
     blocks = alone(lambda f: long_links(labelled.where(F.col("m") > short), reps, t, k, block, f), "near-blocks")
     fresh = short_pairs(labelled.where(F.col("m") <= short)).distinct().join(stars, ["a", "b"], "left_anti")
     open_ = blocks.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti")
-    more = alone(lambda f: likely(fresh, reps, t, f, few).union(open_).distinct(), "near-more")
-    made.drop(labelled, stars)
-    found = alone(lambda f: blocks.where("sure").select("a", "b").union(confirm(more, reps, docs, shingle, t, k, f, few)), "near-found")
+    more = alone(lambda f: likely(fresh, reps, t, f, few), "near-more")
+    made.drop(labelled)
+    found = alone(lambda f: blocks.where("sure").select("a", "b").union(confirm(more, reps, docs, ids, shingle, t, k, f, few, open_)), "near-found")
+    made.drop(stars)
     last = first if found.isEmpty() else components(links.union(found), made)
     own = own.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     out = own.join(last.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))

@@ -202,6 +202,31 @@ def test_near_dedup_of_a_doc_id_with_several_texts(spark):
     assert got == [(3, 3, True), (7, 3, False), (7, 3, False), (7, 3, False), (8, 8, True), (8, 8, True), (9, 3, False)]
 
 
+def test_near_dedup_of_a_doc_id_with_several_long_texts(spark):
+    """Sets too large to be retained: different ones of one size all count, and empty rows of two ids link nothing."""
+    a, b, c = ([f"{x}{i}" for i in range(30)] for x in "abc")
+    docs = [(1, a), (1, b), (1, b), (2, [*a[:-1], "x"]), (3, [*b[:-1], "y"]), (10, c), (10, []), (11, [*c[:22], *a[:8]]), (11, [])]
+    docs = [(i, " ".join(w), "s") for i, w in docs]
+    for few in (0, 500_000):
+        got = {(r.doc_id, r.component_id) for r in near_dedup.near_dedup(frame(spark, docs), shingle=4, k=20, few=few).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (10, 10), (11, 11)}
+
+
+def test_near_dedup_moves_no_more_than_it_needs(spark):
+    """Sketches are not written beside the values they come from, and the id in most pairs is the center, also if it is the larger one."""
+    from quillworks.llm.common import Folders
+
+    assert near_dedup.signatures(empty(spark), 4, 256).columns == ["doc_id", "n", "digest", "v"]
+    made, v = Folders(spark), list(range(50))
+    sets = spark.createDataFrame([(i, 50, v) for i in range(10)] + [(100, 50, v)], "id long, n long, v array<long>")
+    pairs = spark.createDataFrame([(i, 100) for i in range(10)], "a long, b long")
+    got = near_dedup.compare(pairs, sets, 80, 256, made, 1000)
+    assert sorted(map(tuple, got.collect())) == [(i, 100, True) for i in range(10)]
+    dealt = next(df for path, df in made.paths.items() if "near-pairs" in path)
+    assert {r.a for r in dealt.collect()} == {100}
+    assert near_dedup.floor_share(0.8, 24) == 6 / 24 and near_dedup.floor_share(1.0, 24) == 1
+
+
 def test_shingles_of_odd_texts():
     import pyarrow as pa
 
